@@ -235,5 +235,5 @@ def pack_documents(df: DataFrame, definition: str, end_id: int, window: int = 40
     ranked = made.select("tokens", "pieces", "step", "part", F.row_number().over(Window.partitionBy("step", "part").orderBy(F.xxhash64("pieces"), F.col("pieces")[0]["doc_id"], F.col("pieces")[0]["start"])).alias("rank"))
     placed = ranked.mapInArrow(place, f"tokens bigint, pieces {kind}, sequence_id bigint, slot int")
     base = F.coalesce(F.sum("tokens").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = placed.select("sequence_id", base.alias("base"), F.explode("pieces").alias("p"))
+    laid = placed.withColumn("base", base).select("sequence_id", "base", F.explode("pieces").alias("p"))
     return laid.select(*[F.col(f"p.{c}").alias(id_col if c == "doc_id" else c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")], "sequence_id", (F.col("base") + F.col("p.at")).alias("offset"))
