@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmesa.llm import fingerprints, packing, piece_encoding, quality, warc
+from docmesa.llm import fingerprints, packing, piece_encoding, quality, suffix_dedup, warc
 from docmesa.llm.common import prepare, read_table
 
 
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents, quality.train(documents, read_table(spark, sf_dir, "labels")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(read_table(prepare(spark), sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(prepare(spark), sf_dir, "pages"))
 
@@ -39,5 +43,5 @@ def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> DataF
         return packing.pack_documents(read_table(prepare(spark), sf_dir, "documents"), f.read(), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_warc, op5_pieces, op6_fingerprints, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op4_warc, op5_pieces, op6_fingerprints, op10_packing)}
 ORACLE: dict[str, str] = {}
