@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmesa.llm import fingerprints, packing, piece_encoding, quality, suffix_dedup, warc
+from docmesa.llm import fingerprints, jaccard_join, packing, pii, piece_encoding, quality, suffix_dedup, warc
 from docmesa.llm.common import prepare, read_table
 
 
@@ -38,10 +38,18 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(prepare(spark), sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(prepare(spark), sf_dir, "documents"), pii.train())
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(prepare(spark), sf_dir, "documents"), words=3, top=90, bottom=100)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> DataFrame:
     with open(tokenizer or tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
         return packing.pack_documents(read_table(prepare(spark), sf_dir, "documents"), f.read(), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op4_warc, op5_pieces, op6_fingerprints, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op4_warc, op5_pieces, op6_fingerprints, op8_pii, op9_jaccard, op10_packing)}
 ORACLE: dict[str, str] = {}
