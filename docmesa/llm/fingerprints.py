@@ -8,6 +8,8 @@ ever share a digest, all but the smallest get their SHA-256 appended.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +34,14 @@ def as_text(a: Column, b: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
-def clashes(df: DataFrame, form: Column, h1: str = "h1", h2: str = "h2") -> DataFrame:
-    """Buckets that hold different canonical forms: h1, h2 and `own`, the SHA-256 of the form that keeps the plain digest.
+def clashes(df: DataFrame) -> DataFrame:
+    """Buckets of (h1, h2) that hold different canonical forms: h1, h2 and `own`, the least SHA-256 of a form, which keeps the plain digest.
 
-    Least and greatest form are found with a combine before the shuffle, so a bucket with a
-    third of all rows sends one row from each task.
+    Forms are compared whole, each once: equal ones are combined before the shuffle, so a bucket with
+    a third of all rows sends one row from each task.
     """
-    found = df.select(h1, h2, form.alias("form")).groupBy(h1, h2).agg(F.min("form").alias("least"), F.max("form").alias("most"))
-    return found.filter("least != most").select(h1, h2, F.sha2("least", 256).alias("own"))
+    forms = df.select("h1", "h2", "form").distinct()
+    return forms.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.sha2("form", 256)).alias("own")).filter("n > 1").drop("n")
 
 
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,7 +52,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     h1, h2 = wide(F.col("form"))
     rows = base.select(id_col, "text", "form", h1.alias("h1"), h2.alias("h2"), F.sha2("form", 256).alias("sha"))
     named = rows.select(id_col, F.length("text").cast("bigint").alias("n_chars"), "h1", "h2", "sha")
-    return _settled(named, clashes(rows, F.col("form"))).select(id_col, "n_chars", "fingerprint")
+    return _settled(named, clashes(rows)).select(id_col, "n_chars", "fingerprint")
 
 
 def _settled(rows: DataFrame, clash: DataFrame) -> DataFrame:
@@ -59,10 +61,10 @@ def _settled(rows: DataFrame, clash: DataFrame) -> DataFrame:
     return rows.join(clash, ["h1", "h2"], "left").withColumn("fingerprint", F.when(other, F.concat(plain, F.lit("-"), "sha")).otherwise(plain))
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str], add: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds next_<column>: the values in the next row by ascending (id, text), after the last row those of the first.
 
-    df has the columns id_col and text. Null ids come first. Ids are split at quantiles into ranges;
+    df has the columns id_col and text; `add` gives it more before the rows are dealt out. Null ids come first. Ids are split at quantiles into ranges;
     each range is sorted by itself, and gets the first row of the following range as a guest.
     """
     spark = df.sparkSession
@@ -75,11 +77,11 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     keyed = keyed.withColumn("_range", F.size(F.filter(bounds, lambda c: c <= F.col("_key"))))
     heads = [(r["_range"], r["k"]) for r in keyed.groupBy("_range").agg(F.min("_key").alias("k")).orderBy("_range").collect()]  # a row for each range
     if not heads:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return add(df).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     guest = [(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)]
     small = F.broadcast(spark.createDataFrame(guest, "_key bigint, _to int"))  # at most RANGES rows
     guests = keyed.join(small, "_key").withColumn("_range", F.col("_to")).drop("_to").withColumn("_guest", F.lit(1))
-    every = keyed.withColumn("_guest", F.lit(0)).unionByName(guests.select(*keyed.columns, "_guest"))
+    every = add(keyed.withColumn("_guest", F.lit(0))).unionByName(add(guests))
     w = Window.partitionBy("_range").orderBy("_guest", "_key", "text")
     return every.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter("_guest = 0").drop("_guest", "_range", "_key")
 
@@ -94,11 +96,14 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     all others; a single row is its own next; an empty table gives no rows; other columns are left out.
     """
     base = df.select(df[id_col].cast("bigint").alias(id_col), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    hashed = base.select(id_col, "text", canonical(F.col("text")).alias("form"))
-    h1, h2 = wide(F.col("form"))
-    hashed = hashed.select(id_col, "text", "form", h1.alias("h1"), h2.alias("h2"), F.sha2("form", 256).alias("sha"))
-    clash = clashes(hashed, F.col("form"))
-    rows = with_next(hashed.drop("form"), id_col, ["text", "h1", "h2"])
+
+    def hashed(d: DataFrame) -> DataFrame:
+        d = d.withColumn("form", canonical(F.col("text")))
+        h1, h2 = wide(F.col("form"))
+        return d.withColumn("h1", h1).withColumn("h2", h2).withColumn("sha", F.sha2("form", 256))
+
+    clash = clashes(hashed(base))
+    rows = with_next(base, id_col, ["text", "h1", "h2"], lambda d: hashed(d).drop("form"))
     half = (F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited).withColumn("edited_form", canonical(F.col("edited")))
