@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmesa.llm import fingerprints, jaccard_join, packing, pii, piece_encoding, quality, suffix_dedup, warc
+from docmesa.llm import embedding_dedup, fingerprints, html_extraction, jaccard_join, packing, pii, piece_encoding, quality, suffix_dedup, warc
 from docmesa.llm.common import prepare, read_table
 
 
@@ -25,6 +25,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(read_table(prepare(spark), sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(read_table(prepare(spark), sf_dir, "pages"), html_extraction.train())
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(prepare(spark), sf_dir, "pages"))
 
@@ -38,6 +42,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(prepare(spark), sf_dir, "documents"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read_table(prepare(spark), sf_dir, "documents"), pii.train())
 
@@ -51,5 +59,5 @@ def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> DataF
         return packing.pack_documents(read_table(prepare(spark), sf_dir, "documents"), f.read(), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op4_warc, op5_pieces, op6_fingerprints, op8_pii, op9_jaccard, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_main_text, op4_warc, op5_pieces, op6_fingerprints, op7_near_vectors, op8_pii, op9_jaccard, op10_packing)}
 ORACLE: dict[str, str] = {}
