@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch sent to Python; long texts make small batches.
@@ -62,3 +64,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_texts(df: DataFrame, change: Callable[[list[str | None]], list[str | None]], text_col: str = "text") -> DataFrame:
+    """df with its texts changed batch by batch; a row whose text becomes null goes, unless it was null before. n_chars, if there, follows."""
+    names = df.columns
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text_col)
+        for b in batches:
+            old = b.column(at).to_pylist()
+            new = change(old)
+            columns = list(b.columns)
+            columns[at] = pa.array(new, b.schema.field(at).type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                columns[k] = pa.array([c if t == o else len(t or "") for c, t, o in zip(b.column(k).to_pylist(), new, old, strict=True)], b.schema.field(k).type)
+            out = pa.RecordBatch.from_arrays(columns, schema=b.schema)
+            yield out.filter(pa.array([t is not None or o is None for t, o in zip(new, old, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(rows, df.schema)

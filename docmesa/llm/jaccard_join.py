@@ -419,3 +419,17 @@ def jaccard_components(df: DataFrame, words: int = 5, top: int = 8, bottom: int
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
     return every.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, words: int = 5, top: int = 8, bottom: int = 10) -> DataFrame:
+    """The rows of df, with all their columns, less those whose component has a row with a smaller doc_id.
+
+    Rows without words stay. Of rows of a component with equal ids the one whose text hashes lowest stays, a null id
+    counts as the greatest, and rows with equal id and text are one.
+    """
+    every, labels = linked_classes(df, words, Threshold(top, bottom), "doc_id", "text")
+    rooted = every.filter("node is not null").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = rooted.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.row").alias("_row"))
+    gone = rooted.select(F.col("row").alias("_row")).distinct().join(kept, "_row", "left_anti")
+    return df.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text")).join(gone, "_row", "left_anti").dropDuplicates(["_row"]).drop("_row")

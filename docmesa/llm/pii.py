@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docmesa.llm.common import map_texts
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Each follows the pattern of its kind; lookbehinds and possessive repeats keep them linear and change no match.
@@ -309,13 +311,6 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-def mask_personal_data(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the text with its spans masked; null text stays null. Edge cases as in find_personal_data()."""
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t and masked(t, all_spans(t, weights)[1]) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
-
-    return df.select(df[id_col], df[text_col]).mapInArrow(rows, f"`{id_col}` {kind}, `{text_col}` string")
+def mask_personal_data(df: DataFrame, weights: dict[str, float], text_col: str = "text") -> DataFrame:
+    """df with the spans in its texts masked, all other columns as they are; null text stays null."""
+    return map_texts(df, lambda texts: [t and masked(t, all_spans(t, weights)[1]) for t in texts], text_col)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmesa.llm.common import map_texts
+
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, SHRINK, LEAST = 80, 4, 64, 0.15, 1.0, 4.0
@@ -164,3 +166,13 @@ def score_documents(documents: DataFrame, trees: Trees, threshold: float = 0.7)
 
     scored = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(rows, "doc_id bigint, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(documents: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame:
+    """The rows, with all their columns, whose text scores at least the threshold; null text is judged as empty."""
+
+    def change(texts: list[str | None]) -> list[str | None]:
+        p = trees.predict(np.array([statistics(t or "") for t in texts]).reshape(-1, len(NAMES)))
+        return [t if q >= threshold else None for t, q in zip(texts, p, strict=True)]
+
+    return map_texts(documents.withColumn("text", F.coalesce("text", F.lit(""))), change)

@@ -315,16 +315,20 @@ def _windows(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return np.repeat(start.astype(np.int64) - np.append(0, np.cumsum(windows)[:-1]), windows) + np.arange(int(windows.sum()))
 
 
-def _settle(data: bytes, covered: np.ndarray, length: int, digest: bool) -> tuple[bytes, tuple[int, int, int]]:
+def _settle(data: bytes, covered: np.ndarray, length: int, give: str) -> tuple[bytes, tuple[int, int, int]]:
     kept, removed, spans = _cut(data, covered, length)
-    return hashlib.sha256(kept).digest() if digest else kept, (len(data), removed, spans)
+    if give == "sha256":
+        kept = hashlib.sha256(kept).digest()
+    elif give == "text":
+        kept = kept.decode("utf-8", "ignore").encode()  # a cut may lie within a character
+    return kept, (len(data), removed, spans)
 
 
 def _outcome(ids, kept, sizes, rows_, targets, marks) -> dict:
     return {"id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array([s[0] for s in sizes], pa.int64()), "n_removed": pa.array([s[1] for s in sizes], pa.int64()), "n_spans": pa.array([s[2] for s in sizes], pa.int64()), "row": pa.array(rows_, pa.int64()), "target": pa.array(targets, pa.int32()), "marks": pa.array(marks, pa.binary())}
 
 
-def _apply_group(length: int, buckets: int, digest: bool):
+def _apply_group(length: int, buckets: int, give: str):
     """Cuts documents whose marks are final; documents with open segments go on whole, with their
     marks, and their open segments' text goes to the bucket of its anchor."""
 
@@ -347,7 +351,7 @@ def _apply_group(length: int, buckets: int, digest: bool):
                 for x, n, g in zip(s[open_].tolist(), w[open_].tolist(), h[open_].tolist(), strict=True):
                     sent.setdefault(g % buckets, []).append((doc, key, x, n, data[x : x + n + length - 1]))
             else:
-                out.append((doc, *_settle(data, closed, length, digest), key, None, None))
+                out.append((doc, *_settle(data, closed, length, give), key, None, None))
         for target, parts in sent.items():
             head = np.array([p[:4] for p in parts], dtype=np.int64)
             out.append((None, head.tobytes() + b"".join(p[4] for p in parts), (len(parts), -2, -2), 0, target, None))
@@ -388,7 +392,7 @@ def _array_group(length: int, buckets: int):
     return group
 
 
-def _finish_group(length: int, digest: bool):
+def _finish_group(length: int, give: str):
     def group(texts: pa.Table, hits: pa.Table) -> pa.Table:
         row = np.concatenate([np.frombuffer(x, dtype="<i8") for x in hits["row"].to_pylist()] or [np.zeros(0, dtype="<i8")])
         start = np.concatenate([np.frombuffer(x, dtype="<u4") for x in hits["start"].to_pylist()] or [np.zeros(0, dtype="<u4")])
@@ -397,14 +401,15 @@ def _finish_group(length: int, digest: bool):
         out = []
         for doc, key, data, marks in zip(texts["id"].to_pylist(), texts["row"].to_pylist(), texts["kept"].to_pylist(), texts["marks"].to_pylist(), strict=True):
             a, b = np.searchsorted(row, key, "left"), np.searchsorted(row, key, "right")
-            out.append((doc, *_settle(data, np.concatenate([np.frombuffer(marks, dtype="<u4").astype(np.int64), start[a:b]]), length, digest), key, None, None))
+            out.append((doc, *_settle(data, np.concatenate([np.frombuffer(marks, dtype="<u4").astype(np.int64), start[a:b]]), length, give), key, None, None))
         return pa.table(_outcome(*(list(zip(*out, strict=True)) or [[]] * 6)))
 
     return group
 
 
-def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """One row per input row: the id, kept (binary, the bytes that stay, or with `digest` their SHA-256), n_bytes, n_removed, n_spans.
+def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", give: str = "bytes") -> DataFrame:
+    """One row per input row: the id, kept (binary, the bytes that stay, or their SHA-256, or without characters cut
+    in two, as `give` says: bytes, sha256 or text), n_bytes, n_removed, n_spans, row (a hash of id and text).
 
     A byte goes if it lies in a string of `length` bytes that also begins in a row with a smaller id;
     strings are judged on the input. Null text counts as empty. Rows with equal ids do not match each other.
@@ -420,15 +425,28 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     blocks = base.mapInArrow(_sieve_rows(length, n), "bucket int, block binary, docs binary")
     marks = blocks.groupBy("bucket").applyInArrow(_sieve_group(n), _MARKS)
     texts = base.withColumn("target", F.pmod("row", F.lit(n)).cast("int"))
-    applied = materialise(texts.groupBy("target").cogroup(marks.groupBy("target")).applyInArrow(_apply_group(length, n, digest), _KEPT), "repeats")
+    applied = materialise(texts.groupBy("target").cogroup(marks.groupBy("target")).applyInArrow(_apply_group(length, n, give), _KEPT), "repeats")
     hits = applied.filter("n_removed = -2").groupBy("target").applyInArrow(_array_group(length, n), "target int, row binary, start binary")
     open_ = applied.filter("n_removed = -1")
-    finished = open_.groupBy("target").cogroup(hits.groupBy("target")).applyInArrow(_finish_group(length, digest), _KEPT)
+    finished = open_.groupBy("target").cogroup(hits.groupBy("target")).applyInArrow(_finish_group(length, give), _KEPT)
     every = applied.filter("n_removed >= 0").unionByName(finished)
-    return every.select(F.nullif(F.col("id"), F.lit(least)).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans")
+    return every.select(F.nullif(F.col("id"), F.lit(least)).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans", "row")
 
 
 def repeat_digests(df: DataFrame, length: int = 50) -> DataFrame:
     """remove_repeats() with kept_sha256 (lowercase hex) for the bytes that stay."""
-    out = remove_repeats(df, length, digest=True)
+    out = remove_repeats(df, length, give="sha256")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+def without_repeats(df: DataFrame, length: int = 50) -> DataFrame:
+    """df with the texts that remove_repeats() leaves and n_chars to match; other columns, and null texts, are as they were."""
+    least = F.lit(-(1 << 63))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    keyed = df.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), least), text))
+    kept = remove_repeats(df, length, give="text").select(F.col("row").alias("_row"), F.col("kept").cast("string").alias("_kept")).dropDuplicates(["_row"])
+    joined = keyed.withColumn("text", F.when(F.col("text").isNotNull(), F.lit(""))).join(kept, "_row")
+    changed = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    if "n_chars" in df.columns:
+        changed = changed.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("bigint"))
+    return changed.select(*df.columns)
