@@ -10,6 +10,8 @@ left greedily. Items then find their sequence by their rank within their length.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,14 +24,19 @@ from docmesa.llm.common import materialise
 
 #: Tokens in a step of the histogram, and parts that the ranks within a length are counted in.
 STEP, PARTS = 16, 64
-#: Chunks whose ids a worker keeps before it starts afresh.
-CACHE_CHUNKS = 400_000
+#: Chunks whose ids a worker keeps, at most; words tokenized at once.
+CACHE_CHUNKS, TOGETHER = 1_400_000, 2000
+#: A comma or stop that is not directly behind a letter or digit, so that it belongs to a run of marks.
+_IN_RUN = re.compile(r"(?:[^\w ]|_)[,.] ")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds:
-    """Ids of whole texts from a tokenizer whose pieces never cross a blank or a line end, chunk by chunk.
+    """Ids of whole texts from a tokenizer that splits at blanks and line ends, and between letters and ASCII marks.
 
-    Texts that hold the string of one of its added tokens go to the tokenizer whole.
+    The ids of chunks between blanks are kept in two generations: when the younger is full, it becomes the
+    older, whose chunks are kept on only if they come again. Texts that hold the string of one of
+    the tokenizer's added tokens go to it whole.
     """
 
     def __init__(self, definition: str):
@@ -40,35 +47,92 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def raw(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(a in text for a in self.added):
-            return self.raw([text])[0]
-        words, cache = text.replace("\n", " ").split(" "), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-            self.learn({w for w in words if w not in cache})
-            return b"".join([cache[w] for w in words])
+    def words(self, words: list[str]) -> list[bytes]:
+        """Of words of letters: many in one text, whose ids are cut where a word ends. One that does not fit that goes alone."""
+        out: list[bytes] = []
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part):
+                data = ids.tobytes()
+                at = [0, *(4 * cut).tolist()]
+                out += [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+            else:
+                out += self.raw(part)
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [[] if any(a in t for a in self.added) else _chunks(t) for t in texts]
+        self.learn(set().union(*split))
+        cache = self.cache
+        return [b"".join([cache[w] for w in words]) if words else self.raw([t])[0] for t, words in zip(texts, split, strict=True)]
 
     def learn(self, chunks: set[str]) -> None:
-        """A word of letters and the comma or stop behind it are split by the tokenizer, so they are learned apart."""
-        parts = {}
-        for w in chunks:
-            core = w[:-1] if w[-1:] in (",", ".") and w[:-1].isalpha() else w
-            parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
-        cache = self.cache
-        fresh = [p for p in {p for pair in parts.values() for p in pair} if p not in cache]
-        cache.update(zip(fresh, self.raw(fresh), strict=True))
-        for w, (core, tail) in parts.items():
-            cache[w] = cache[core] + cache[tail]
+        if 2 * len(self.cache) > CACHE_CHUNKS:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        missing = chunks - cache.keys()
+        known = missing & older.keys()
+        cache.update([(w, older[w]) for w in known])
+        missing -= known
+        # most are ASCII letters, perhaps with marks behind them
+        plain = [w for w in missing if w.isascii() and w.isalpha()]
+        missing.difference_update(plain)
+        pairs = [(w, w.rstrip(_MARKS)) for w in missing]
+        parts = [(w, c.lower(), w[len(c) :]) for w, c in pairs if c.isascii() and c.isalpha()]
+        parts += [(w, c, w[len(c) :]) for w, c in pairs if not c.isascii() and _letters(c)]
+        rest = missing.difference([p[0] for p in parts])
+        letters = {w.lower() for w in plain}
+        letters.update([p[1] for p in parts])
+        rest.update([p[2] for p in parts if p[2]])
+        words, others = list(letters - cache.keys()), list(rest - cache.keys())
+        cache.update(zip(words, self.words(words), strict=True))
+        cache.update(zip(others, self.raw(others), strict=True))
+        cache.update([(w, cache[w.lower()]) for w in plain])
+        cache.update([(w, cache[core] + cache[tail] if tail else cache[core]) for w, core, tail in parts])
+
+
+def _chunks(text: str) -> list[str]:
+    """Parts of a text whose ids, one after the other, are those of the text: cut at blanks. Latin
+    text is also put in lower case, as the tokenizer does, and cut before commas and stops where it cuts."""
+    text = text.replace("\n", " ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split(" ")
+    text = text.lower()
+    if not _IN_RUN.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
+
+
+def _letters(word: str) -> bool:
+    """Letters that stay letters in lower case and composed."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word.lower()).isalpha())
+
+
+_shared: dict[str, WordIds] = {}
+
+
+def word_ids(definition: str) -> WordIds:
+    """One for each worker, whose tasks go on with what earlier ones have learned."""
+    if definition not in _shared:
+        _shared.clear()
+        _shared[definition] = WordIds(definition)
+    return _shared[definition]
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,7 +212,7 @@ def items(df: DataFrame, definition: str, end_id: int, window: int, id_col: str,
     arrow = pa.schema([("doc_id", _arrow(df, id_col)), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("at", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, mark, short = WordIds(definition), np.array([end_id], dtype="<u4").tobytes(), window // 4
+        ids, mark, short = word_ids(definition), np.array([end_id], dtype="<u4").tobytes(), window // 4
         held: list[tuple] = []
         room = 0
 
@@ -159,8 +223,9 @@ def items(df: DataFrame, definition: str, end_id: int, window: int, id_col: str,
 
         for b in batches:
             out: list[list[tuple]] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = memoryview(ids(text or "") + mark)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc, made in zip(b.column(0).to_pylist(), ids(texts), strict=True):
+                data = memoryview(made + mark)
                 n = len(data) // 4
                 for s in range(0, n, window):
                     k = min(window, n - s)
