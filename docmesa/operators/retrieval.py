@@ -265,7 +265,7 @@ def with_window(best: DataFrame, scored: DataFrame, window: int, limit: int) ->
     anchors = best.orderBy(F.desc("score"), "id").limit(3).select(F.col("document_id").alias("d"), F.col("chunk_index").alias("at"), F.col("score").alias("s"))
     near = scored.join(F.broadcast(anchors), (F.col("document_id") == F.col("d")) & F.col("chunk_index").between(F.col("at") - window, F.col("at") + window))
     lifted = near.join(best.select("id"), "id", "left_anti").groupBy("id").agg(F.max(F.greatest("score", F.col("s") * 0.82)).alias("lift"))
-    extra = scored.join(lifted, "id").withColumn("score", F.col("lift")).drop("lift")
+    extra = scored.join(lifted, "id").withColumn("score", F.col("lift")).drop("lift").dropDuplicates(["id"])
     return best.unionByName(extra.select(*best.columns)).orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -273,7 +273,7 @@ def with_links(best: DataFrame, scored: DataFrame, links: DataFrame, limit: int,
     """The best rows with what the first four link to (id, target), which scores at least .78 of theirs."""
     anchors = best.orderBy(F.desc("score"), "id").limit(4).select("id", F.col("score").alias("s"))
     out = links.join(F.broadcast(anchors), "id").select(F.col("target").alias("id"), "s").groupBy("id").agg(F.max("s").alias("s"))
-    extra = scored.join(out, "id").join(best.select("id"), "id", "left_anti").withColumn("score", F.greatest("score", F.col("s") * factor)).drop("s")
+    extra = scored.join(out, "id").join(best.select("id"), "id", "left_anti").withColumn("score", F.greatest("score", F.col("s") * factor)).drop("s").dropDuplicates(["id"])
     return best.unionByName(extra.select(*best.columns)).orderBy(F.desc("score"), "id").limit(limit)
 
 
