@@ -11,8 +11,8 @@ window's anchor, so equal windows have equal anchors at equal places. Consecutiv
 one anchor form a segment. Only hashes of anchors and segments are shuffled.
  * An anchor in one document only: its windows are in no other document.
  * A segment that is, as a whole, in a smaller document: all its windows are.
- * What is left, segments that share their anchor with a different segment of a
-   smaller document, has its text sent to the family of arrays for its anchor.
+ * What is left, segments that share their anchor, and half of a window's other bytes on one side of it, with
+   a different segment of another document, has its text sent to the family of arrays for its anchor.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmesa.llm.common import materialise, partitions
+from docmesa.llm.common import materialise, partitions, release
 
-#: Bytes of an anchor, at least; bytes hashed at once; bytes kept of either hash; hash bases.
-GRAM, SLICE, HASH = 16, 2 << 20, 5
+#: Bytes of an anchor, at least; bytes hashed at once; bytes kept of an anchor's and of a segment's hash; hash bases.
+GRAM, SLICE, ANCHOR, SEGMENT = 16, 1 << 20, 4, 5
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Suffixes in a batch of the index family.
 BATCH = 1 << 16
@@ -77,6 +77,8 @@ class Segments(NamedTuple):
     windows: np.ndarray
     anchor_hash: np.ndarray
     segment_hash: np.ndarray
+    left: np.ndarray  # 16 bits of the anchor with what is on its left, 0 where the segment has not enough of it
+    right: np.ndarray
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Segments:
@@ -85,7 +87,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Segments:
     w = length - k + 1
     if n < length:
         none = np.zeros(0, dtype=np.int64)
-        return Segments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Segments(none, none, none, *(none.astype(np.uint64) for _ in range(4)))
     with np.errstate(over="ignore"):
         x = data.astype(np.uint64) + np.uint64(1)
         s = np.zeros(n + 1, dtype=np.uint64)
@@ -113,7 +115,18 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Segments:
         np.cumsum(x * _power_table(_BASE2, n), out=t[1:])
         whole = (t[last + length - 1] - t[first]) * _power_table(_inverse(int(_BASE2)), n)[first]
         whole = _mix(whole + _mix((at - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)))
-        return Segments(doc_of[first], first - offsets[:-1][doc_of[first]], last - first, gram[at], whole)
+        # a window holds its anchor and, on one side of it at least, half of the rest
+        half = -(-(length - k) // 2)
+        inverse = _power_table(_inverse(int(_BASE)), n)
+
+        def side(begin: np.ndarray, inside: np.ndarray) -> np.ndarray:
+            begin = np.where(inside, begin, 0)
+            h = _mix((s[begin + k + half] - s[begin]) * inverse[begin]) >> np.uint64(48)
+            return np.where(inside, np.maximum(h, np.uint64(1)), np.uint64(0))
+
+        left = side(at - half, at - half >= first) if n >= k + half else np.zeros(len(at), dtype=np.uint64)
+        right = side(at, at + k + half <= last - 1 + length) if n >= k + half else left
+        return Segments(doc_of[first], first - offsets[:-1][doc_of[first]], last - first, gram[at], whole, left, right)
 
 
 class Level(NamedTuple):
@@ -211,14 +224,14 @@ def _sieve_rows(length: int, buckets: int):
             found = []
             for part, cut, first, skip in _slices(data, offsets, length):
                 s = segments(part, cut, length)
-                found.append((s.doc + first, s.start + skip, s.windows, s.anchor_hash, s.segment_hash))
+                found.append((s.doc + first, s.start + skip, *s[2:]))
             if not found or not sum(len(f[0]) for f in found):
                 continue
             s = Segments(*(np.concatenate(c) for c in zip(*found, strict=True)))
             # the low bits choose the bucket; the block has others
             key = (s.anchor_hash & np.uint64(65535)).astype(np.int64) * buckets >> 16
-            split = lambda v: v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH]
-            block = np.concatenate([split(s.anchor_hash >> np.uint64(16)), split(s.segment_hash), s.start.astype("<u4").view(np.uint8).reshape(-1, 4), s.windows.astype(np.uint8)[:, None], s.doc.astype("<u2").view(np.uint8).reshape(-1, 2)], axis=1)
+            columns = (s.anchor_hash >> np.uint64(16), ANCHOR), (s.segment_hash, SEGMENT), (s.left, 2), (s.right, 2), (s.start, 4), (s.windows, 1), (s.doc, 2)
+            block = np.concatenate([v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n] for v, n in columns], axis=1)
             yield _table_rows(key, buckets, block, s.doc, b.column(0).to_numpy(), b.column(1).to_numpy())
 
     return rows
@@ -241,14 +254,20 @@ def _table_rows(key, n, block, doc, ids, rows_) -> pa.RecordBatch:
 
 
 def _read_blocks(table: pa.Table):
-    """Anchor, segment, start, windows, doc_id, row key of all blocks."""
-    out = [[] for _ in range(6)]
-    wide = lambda v: np.concatenate([v, np.zeros((8 - len(v), v.shape[1]), dtype=np.uint8)]).T.copy().view("<u8").ravel()
+    """Anchor, segment, left, right, start, windows, doc_id, row key of all blocks."""
+    sizes = (ANCHOR, SEGMENT, 2, 2, 4, 1, 2)
+    out = [[] for _ in range(8)]
     for block, docs in zip(table["block"].to_pylist(), table["docs"].to_pylist(), strict=True):
-        x = np.frombuffer(block, dtype=np.uint8).reshape(2 * HASH + 7, -1)
+        x = np.frombuffer(block, dtype=np.uint8).reshape(sum(sizes), -1)
         ids, rows_ = np.frombuffer(docs, dtype=np.int64).reshape(2, -1)
-        at = x[-2:].T.copy().view("<u2").ravel()
-        for o, v in zip(out, (wide(x[:HASH]), wide(x[HASH : 2 * HASH]), x[2 * HASH : -3].T.copy().view("<u4").ravel().astype(np.int64), x[-3].astype(np.int64), ids[at], rows_[at]), strict=True):
+        at, values = 0, []
+        for n in sizes:
+            wide = np.zeros((x.shape[1], 8), dtype=np.uint8)
+            wide[:, :n] = x[at : at + n].T
+            values.append(wide.view("<u8").ravel())
+            at += n
+        place = values.pop().astype(np.int64)
+        for o, v in zip(out, (*values, ids[place], rows_[place]), strict=True):
             o.append(v)
     return [np.concatenate(o) for o in out]
 
@@ -262,39 +281,89 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-_MARKS = "target int, row binary, start binary, windows binary, anchor binary"
+_MARKS = "target int, open boolean, row binary, start binary, windows binary, anchor binary"
 
 
 def _sieve_group(buckets: int):
     """Marks: segments whose windows are all in a smaller document (anchor 0), and segments that the arrays must look at."""
 
     def group(table: pa.Table) -> pa.Table:
-        anchor, segment, start, windows, doc, row = _read_blocks(table)
+        anchor, segment, left, right, start, windows, doc, row = _read_blocks(table)
         order = np.lexsort((doc, segment, anchor))
-        anchor, segment, start, windows, doc, row = (v[order] for v in (anchor, segment, start, windows, doc, row))
-        head = np.flatnonzero(_heads(anchor, segment))
-        run = np.cumsum(_heads(anchor, segment)) - 1
+        anchor, segment, left, right, start, windows, doc, row = (v[order] for v in (anchor, segment, left, right, start, windows, doc, row))
+        fresh = _heads(anchor, segment)
+        head, run = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         smallest = doc[head]  # of the segment
         whole = doc > smallest[run]
-        # segments of one anchor: least and greatest of their smallest documents
-        a_head = np.flatnonzero(_heads(anchor[head]))
-        a_run = np.cumsum(_heads(anchor[head])) - 1
-        least, most = np.minimum.reduceat(smallest, a_head), np.maximum.reduceat(smallest, a_head)
-        ask = ~whole & (least < most)[a_run][run]
-        pick = np.flatnonzero(whole | ask)
-        mark = np.where(ask[pick], anchor[pick] | np.uint64(1 << 63), np.uint64(0))
-        target = row[pick] % buckets
-        return pa.Table.from_batches([_packed(target, buckets, {"row": row[pick], "start": start[pick].astype("<u4"), "windows": windows[pick].astype(np.uint8), "anchor": mark}, "target")])
+        # different segments with the anchor and a side of it in common, in documents that differ
+        open_ = np.zeros(len(head), dtype=bool)
+        for side in (left[head], right[head]):
+            order = np.lexsort((side, anchor[head]))
+            new = _heads(anchor[head][order], side[order])
+            at, of = np.flatnonzero(new), np.cumsum(new) - 1
+            if len(at):
+                differ = np.minimum.reduceat(smallest[order], at) < np.maximum.reduceat(smallest[order], at)
+                open_[order] |= differ[of] & (side[order] > 0)
+        ask = ~whole & open_[run]
+        made = []
+        for flag, pick in ((False, np.flatnonzero(whole)), (True, np.flatnonzero(ask))):
+            made.append(_marks(row[pick], start[pick], windows[pick], anchor[pick], flag, buckets))
+        return pa.concat_tables(made)
 
     return group
 
 
+def _marks(row, start, windows, anchor, flag: bool, buckets: int) -> pa.Table:
+    packed = _packed(row % buckets, buckets, {"row": row, "start": start.astype("<u4"), "windows": windows.astype("<u4"), "anchor": anchor.astype("<u4")}, "target")
+    return pa.Table.from_batches([packed]).add_column(1, "open", pa.array([flag] * packed.num_rows, pa.bool_()))
+
+
 def _read_marks(table: pa.Table):
-    kinds = (("row", "<i8"), ("start", "<u4"), ("windows", np.uint8), ("anchor", "<u8"))
-    return [np.concatenate([np.frombuffer(x, dtype=k) for x in table[c].to_pylist()] or [np.zeros(0, dtype=k)]) for c, k in kinds]
+    """Row keys in ascending order with the start, windows and anchor of each mark."""
+    kinds = (("row", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("anchor", "<u4"))
+    columns = [np.concatenate([np.frombuffer(x, dtype=k) for x in table[c].to_pylist()] or [np.zeros(0, dtype=k)]) for c, k in kinds]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
+def _text_rows(buckets: int):
+    """Documents by bucket, those of a batch in one compressed block."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+            texts = b.column(2).to_pylist()
+            target = keys % buckets
+            order = np.argsort(target, kind="stable")
+            cut = np.searchsorted(target[order], np.arange(buckets + 1))
+            there = np.flatnonzero(np.diff(cut))
+            heads, blobs = [], []
+            for i in there:
+                part = order[cut[i] : cut[i + 1]]
+                mine = [texts[k] for k in part]
+                heads.append(np.stack([ids[part], keys[part], np.array([len(t) for t in mine], dtype=np.int64)]).tobytes())
+                blobs.append(pack.compress(b"".join(mine)))
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(heads, pa.binary()), pa.array(blobs, pa.binary())], names=["target", "head", "blob"])
+
+    return rows
 
 
-_KEPT = "id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, row bigint, target int, marks binary"
+def _read_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    heads, texts = [np.zeros((3, 0), dtype=np.int64)], []
+    for head, blob in zip(table["head"].to_pylist(), table["blob"].to_pylist(), strict=True):
+        heads.append(np.frombuffer(head, dtype=np.int64).reshape(3, -1))
+        data, at = unpack.decompress(blob), 0
+        for n in heads[-1][2].tolist():
+            texts.append(data[at : at + n])
+            at += n
+    ids, keys, _ = np.concatenate(heads, axis=1)
+    return ids, keys, texts
 
 
 def _cut(data: bytes, covered: np.ndarray, length: int) -> tuple[bytes, int, int]:
@@ -324,50 +393,33 @@ def _settle(data: bytes, covered: np.ndarray, length: int, give: str) -> tuple[b
     return kept, (len(data), removed, spans)
 
 
-def _outcome(ids, kept, sizes, rows_, targets, marks) -> dict:
-    return {"id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array([s[0] for s in sizes], pa.int64()), "n_removed": pa.array([s[1] for s in sizes], pa.int64()), "n_spans": pa.array([s[2] for s in sizes], pa.int64()), "row": pa.array(rows_, pa.int64()), "target": pa.array(targets, pa.int32()), "marks": pa.array(marks, pa.binary())}
+_PARTS = "target int, n bigint, parts binary"
 
 
-def _apply_group(length: int, buckets: int, give: str):
-    """Cuts documents whose marks are final; documents with open segments go on whole, with their
-    marks, and their open segments' text goes to the bucket of its anchor."""
+def _open_group(length: int, buckets: int):
+    """The text of the open segments, for the bucket of their anchor."""
 
-    def group(texts: pa.Table, marks: pa.Table) -> pa.Table:
+    def group(packed: pa.Table, marks: pa.Table) -> pa.Table:
         row, start, windows, anchor = _read_marks(marks)
-        order = np.argsort(row, kind="stable")
-        row, start, windows, anchor = row[order], start[order], windows[order], anchor[order]
-        keys = np.array(texts["row"].to_numpy())
+        ids, keys, texts = _read_texts(packed)
         low, high = np.searchsorted(row, keys, "left"), np.searchsorted(row, keys, "right")
-        out: list[tuple] = []
         sent: dict[int, list[tuple]] = {}
-        for i, (doc, key, packed) in enumerate(zip(texts["id"].to_pylist(), keys.tolist(), texts["text"], strict=True)):
-            data = packed.as_py()
-            a, b = low[i], high[i]
-            s, w, h = start[a:b], windows[a:b], anchor[a:b]
-            open_ = h > 0
-            closed = _windows(s[~open_], w[~open_])
-            if open_.any():
-                out.append((doc, data, (len(data), -1, -1), key, key % buckets, closed.astype("<u4").tobytes()))
-                for x, n, g in zip(s[open_].tolist(), w[open_].tolist(), h[open_].tolist(), strict=True):
-                    sent.setdefault(g % buckets, []).append((doc, key, x, n, data[x : x + n + length - 1]))
-            else:
-                out.append((doc, *_settle(data, closed, length, give), key, None, None))
-        for target, parts in sent.items():
-            head = np.array([p[:4] for p in parts], dtype=np.int64)
-            out.append((None, head.tobytes() + b"".join(p[4] for p in parts), (len(parts), -2, -2), 0, target, None))
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        made = _outcome(*cols)
-        return pa.table(made)
+        for i in np.flatnonzero(high > low).tolist():
+            a, b, doc, key, data = low[i], high[i], int(ids[i]), int(keys[i]), texts[i]
+            for x, n, g in zip(start[a:b].tolist(), windows[a:b].tolist(), anchor[a:b].tolist(), strict=True):
+                sent.setdefault(g % buckets, []).append((doc, key, x, n, data[x : x + n + length - 1]))
+        heads = [np.array([p[:4] for p in parts], dtype=np.int64).tobytes() + b"".join([p[4] for p in parts]) for parts in sent.values()]
+        return pa.table({"target": pa.array(list(sent), pa.int32()), "n": pa.array([len(p) for p in sent.values()], pa.int64()), "parts": pa.array(heads, pa.binary())})
 
     return group
 
 
 def _array_group(length: int, buckets: int):
-    """The index family of one bucket: which windows of the open segments begin in a smaller document."""
+    """The index family of one bucket: marks for the windows of open segments that begin in a smaller document."""
 
     def group(table: pa.Table) -> pa.Table:
         heads, bodies = [], []
-        for n, blob in zip(table["n_bytes"].to_pylist(), table["kept"].to_pylist(), strict=True):
+        for n, blob in zip(table["n"].to_pylist(), table["parts"].to_pylist(), strict=True):
             heads.append(np.frombuffer(blob[: 32 * n], dtype=np.int64).reshape(-1, 4))
             bodies.append(np.frombuffer(blob[32 * n :], dtype=np.uint8))
         head, data = np.concatenate(heads), np.concatenate(bodies)
@@ -376,33 +428,44 @@ def _array_group(length: int, buckets: int):
         order = np.argsort(head[:, 0], kind="stable")
         head, begin = head[order], begin[order]
         edge = np.append(0, np.cumsum(head[:, 3]))
-        levels, hits = SuffixLevels(length), []
+        levels, rows_, starts = SuffixLevels(length), [], []
         at = 0
         while at < len(head):
             to = max(at + 1, int(np.searchsorted(edge, edge[at] + BATCH, "right")) - 1)
             part = head[at:to]
             places = _windows(begin[at:to], part[:, 3])
             found = levels.add(suffix_keys(data, places, length), np.repeat(part[:, 0], part[:, 3]))
-            hits.append(np.stack([np.repeat(part[:, 1], part[:, 3])[found], _windows(part[:, 2], part[:, 3])[found]]))
+            rows_.append(np.repeat(part[:, 1], part[:, 3])[found])
+            starts.append(_windows(part[:, 2], part[:, 3])[found])
             at = to
-        row, start = np.concatenate(hits, axis=1)
-        target = row % buckets
-        return pa.Table.from_batches([_packed(target, buckets, {"row": row, "start": start.astype("<u4")}, "target")])
+        row, start = np.concatenate(rows_), np.concatenate(starts)
+        order = np.lexsort((start, row))
+        row, start = row[order], start[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(new)
+        return _marks(row[first], start[first], np.diff(np.append(first, len(row))), np.zeros(len(first)), False, buckets)
 
     return group
 
 
-def _finish_group(length: int, give: str):
-    def group(texts: pa.Table, hits: pa.Table) -> pa.Table:
-        row = np.concatenate([np.frombuffer(x, dtype="<i8") for x in hits["row"].to_pylist()] or [np.zeros(0, dtype="<i8")])
-        start = np.concatenate([np.frombuffer(x, dtype="<u4") for x in hits["start"].to_pylist()] or [np.zeros(0, dtype="<u4")])
-        order = np.argsort(row, kind="stable")
-        row, start = row[order], start[order].astype(np.int64)
-        out = []
-        for doc, key, data, marks in zip(texts["id"].to_pylist(), texts["row"].to_pylist(), texts["kept"].to_pylist(), texts["marks"].to_pylist(), strict=True):
-            a, b = np.searchsorted(row, key, "left"), np.searchsorted(row, key, "right")
-            out.append((doc, *_settle(data, np.concatenate([np.frombuffer(marks, dtype="<u4").astype(np.int64), start[a:b]]), length, give), key, None, None))
-        return pa.table(_outcome(*(list(zip(*out, strict=True)) or [[]] * 6)))
+_KEPT = "id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, row bigint"
+
+
+def _cut_group(length: int, give: str):
+    """Documents without the bytes that their marks cover."""
+
+    def group(packed: pa.Table, marks: pa.Table) -> pa.Table:
+        row, start, windows, _ = _read_marks(marks)
+        ids, keys, texts = _read_texts(packed)
+        low, high = np.searchsorted(row, keys, "left"), np.searchsorted(row, keys, "right")
+        kept, sizes = [], []
+        for data, a, b in zip(texts, low.tolist(), high.tolist(), strict=True):
+            k, size = _settle(data, _windows(start[a:b], windows[a:b]) if b > a else start[:0], length, give)
+            kept.append(k)
+            sizes.append(size)
+        counts = np.array(sizes, dtype=np.int64).reshape(-1, 3)
+        return pa.table({"id": pa.array(ids), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(counts[:, 0]), "n_removed": pa.array(counts[:, 1]), "n_spans": pa.array(counts[:, 2]), "row": pa.array(keys)})
 
     return group
 
@@ -423,13 +486,15 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     base = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(least)).alias("id"), text.alias("text"))
     base = base.select("id", F.xxhash64("id", "text").alias("row"), "text")
     blocks = base.mapInArrow(_sieve_rows(length, n), "bucket int, block binary, docs binary")
-    marks = blocks.groupBy("bucket").applyInArrow(_sieve_group(n), _MARKS)
-    texts = base.withColumn("target", F.pmod("row", F.lit(n)).cast("int"))
-    applied = materialise(texts.groupBy("target").cogroup(marks.groupBy("target")).applyInArrow(_apply_group(length, n, give), _KEPT), "repeats")
-    hits = applied.filter("n_removed = -2").groupBy("target").applyInArrow(_array_group(length, n), "target int, row binary, start binary")
-    open_ = applied.filter("n_removed = -1")
-    finished = open_.groupBy("target").cogroup(hits.groupBy("target")).applyInArrow(_finish_group(length, give), _KEPT)
-    every = applied.filter("n_removed >= 0").unionByName(finished)
+    marks = materialise(blocks.groupBy("bucket").applyInArrow(_sieve_group(n), _MARKS), "marks")
+    del blocks
+    release(spark)
+    texts = base.mapInArrow(_text_rows(n), "target int, head binary, blob binary")
+    parts = materialise(texts.groupBy("target").cogroup(marks.filter("open").groupBy("target")).applyInArrow(_open_group(length, n), _PARTS), "segments")
+    release(spark)
+    hits = materialise(parts.groupBy("target").applyInArrow(_array_group(length, n), _MARKS), "marks")
+    release(spark)
+    every = texts.groupBy("target").cogroup(marks.filter("not open").unionByName(hits).groupBy("target")).applyInArrow(_cut_group(length, give), _KEPT)
     return every.select(F.nullif(F.col("id"), F.lit(least)).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans", "row")
 
 
