@@ -98,11 +98,21 @@ def question_parts(question: Column, most: int = 8) -> Column:
 
 
 #: Subquestion types (fixed values): type, pattern, weight; in order.
-SUBQUESTIONS = [("table", r"\b(table|value|slope|rating|size|dimension)\b", 1.25), ("requirement", r"\b(shall|must|required|requirement)\b", 1.2), ("safety", r"\b(safety|hazard|fire|emergency|relief)\b", 1.3), ("location", r"\b(where|section|page|located)\b", 1.05), ("comparison", r"\b(compare|difference|versus|between)\b", 1.15), ("condition", r"\b(if|when|unless|except)\b", 1.15), ("procedure", r"\b(how|steps|procedure|method)\b", 1.1), ("definition", r"\b(what is|define|meaning)\b", 1.0)]
+SUBQUESTIONS = [
+    ("definition", r"\b(what is|define|definition|meaning|what are)\b", 1.0),
+    ("enumeration", r"\b(types?|different|list|enumerate|include|mentioned)\b", 1.05),
+    ("comparison", r"\b(compare|difference|versus|vs\.?|between|whereas)\b", 1.15),
+    ("table_numeric", r"\b(table|row|column|value|numeric|number|dimension|slope|rating|mm|bar|psi|1:\d+)\b", 1.3),
+    ("safety_requirement", r"\b(safety|hazard|fire|explosion|shutdown|relief|shall|must|required|mandatory)\b", 1.25),
+    ("location_section", r"\b(where|section|page|clause|location|located)\b", 1.08),
+    ("procedure", r"\b(procedure|steps?|sequence|workflow|method|how to)\b", 1.08),
+    ("relationship", r"\b(related|connected|upstream|downstream|associated|dependency|relationship)\b", 1.12),
+    ("exception", r"\b(exception|except|unless|not allowed|shall not|must not|prohibited)\b", 1.22),
+]
 
 
 def part_type(part: Column) -> Column:
-    out = F.lit("general")
+    out = F.lit("semantic")
     for name, pattern, _ in reversed(SUBQUESTIONS):
         out = F.when(F.rlike(F.lower(part), F.lit(pattern)), name).otherwise(out)
     return out
@@ -153,6 +163,32 @@ def memory_terms(text: Column, most: int = 40) -> Column:
     return F.slice(F.array_distinct(F.filter(T.tokens(F.lower(text), r"[a-z0-9][a-z0-9_.-]{3,}"), lambda w: ~F.array_contains(asked, w))), 1, most)
 
 
+#: What leads from one hop to the next, and signs of a relation in it (fixed values); intents with their weights, in order.
+HOP_MARKS = r"(?i)\b(?:then|after that|next|and then|before|after|because|therefore|so that|related to|connected to|depends on|requires)\b|[;?]"
+RELATION_SIGNS = [("related", "related_context"), ("connected", "connected_context"), ("upstream", "upstream_context"), ("downstream", "downstream_context"), ("associated", "associated_context"), ("requires", "requirement_context"), ("because", "causal_context"), ("therefore", "causal_context"), ("safety", "safety_context"), ("exception", "exception_context"), ("conflict", "conflict_context")]
+HOP_INTENTS = [("table_numeric_evidence", r"\b(table|row|column|slope|value|dimension|rating|numeric)\b", 1.25), ("metadata_location_evidence", r"\b(section|page|document|where|location)\b", 1.05), ("safety_requirement_evidence", r"\b(safety|hazard|fire|explosion|shutdown|relief|shall|must)\b", 1.2)]
+
+
+def hops(questions: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """key, hop (from 1), query, relation, intent, weight of up to six hops of each question; later hops count .92 as much."""
+    q = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))
+    pieces = lambda marks: F.filter(F.transform(F.split(q, marks), lambda p: F.regexp_replace(p, r"^[ .,:;-]+|[ .,:;-]+$", "")), lambda p: F.length(p) > 5)
+    first, second = pieces(HOP_MARKS), pieces(r"(?i)\b(?:and|with|between|versus|vs\.?|compared to)\b")
+    parts = F.slice(F.array_distinct(F.when(F.size(first) > 1, first).otherwise(second)), 1, 6)
+    h = questions.select(F.col(key), F.posexplode(parts).alias("hop", "query")).withColumn("hop", F.col("hop") + 1)
+    low = F.lower("query")
+    relation = F.coalesce(*[F.when(F.contains(low, F.lit(sign)), name) for sign, name in RELATION_SIGNS], F.lit("semantic_context"))
+    h = h.withColumn("relation", relation)
+    intent, weight = F.when(F.col("relation") != "semantic_context", "relationship_evidence").otherwise("semantic_evidence"), F.when(F.col("relation") != "semantic_context", 1.15).otherwise(1.0)
+    for name, pattern, w in reversed(HOP_INTENTS):
+        intent, weight = F.when(F.rlike(low, F.lit(pattern)), name).otherwise(intent), F.when(F.rlike(low, F.lit(pattern)), w).otherwise(weight)
+    return h.withColumn("intent", intent).withColumn("weight", F.round(weight * F.when(F.col("hop") == 1, 1.0).otherwise(0.92), 2))
+
+
+def is_multi_hop(question: Column) -> Column:
+    return F.rlike(question, F.lit(r"(?i)\b(then|after that|multi[- ]?hop|related to|connected to|depends on|requires|upstream|downstream|because|therefore|conflict|across documents)\b"))
+
+
 class Plan(NamedTuple):
     question: str
     kind: str
