@@ -19,7 +19,7 @@ from docmesa.llm.common import map_texts
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, SHRINK, LEAST = 80, 4, 64, 0.15, 1.0, 4.0
+TREES, DEPTH, BINS, RATE, SHRINK, LEAST = 80, 4, 64, 0.15, 1.0, 1.0
 
 _SYMBOLS = b"#$%&*|<>{}[]=~^\\/_@+"
 _CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t", "line": b"\n", "stop": b".", "comma": b",", "shout": b"!", "ask": b"?", "symbol": _SYMBOLS, "pipe": b"|", "other": bytes(range(128, 256))}
