@@ -12,9 +12,10 @@ from docmesa.functions import vocab
 # --- language
 
 
-def script_counts(text: Column) -> dict[str, Column]:
-    count = lambda pattern: F.length(F.regexp_replace(text, f"[^{pattern}]", "")).cast("bigint")
-    return {"latin": count("A-Za-z")} | {name: count(rf"\x{{{a:04X}}}-\x{{{b:04X}}}") for name, _, a, b in vocab.SCRIPTS}
+def script_counts(text: Column, other: Column) -> dict[str, Column]:
+    """Characters of each script; those beside Latin letters are counted in `other`, the text without ASCII."""
+    count = lambda x, pattern: F.length(F.regexp_replace(x, f"[^{pattern}]+", "")).cast("bigint")
+    return {"latin": count(text, "A-Za-z")} | {name: F.when(other == "", F.lit(0).cast("bigint")).otherwise(count(other, rf"\x{{{a:04X}}}-\x{{{b:04X}}}")) for name, _, a, b in vocab.SCRIPTS}
 
 
 def language(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -24,8 +25,9 @@ def language(df: DataFrame, text_col: str = "text") -> DataFrame:
     enough English words or is Latin nearly throughout; accented Latin letters belong to no script. Null text is unknown.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    counts = script_counts(t)
-    d = df.withColumns({f"_{k}": v for k, v in counts.items()})
+    d = df.withColumn("_other", F.regexp_replace(t, r"[\x00-\x7F]+", ""))
+    counts = script_counts(t, F.col("_other"))
+    d = d.withColumns({f"_{k}": v for k, v in counts.items()})
     total = sum((F.col(f"_{k}") for k in counts), F.lit(0))
     ratio = lambda k: F.round(F.col(f"_{k}") / F.greatest(F.lit(1), total), 4)
     words = T.tokens(F.lower(t))
@@ -43,7 +45,7 @@ def language(df: DataFrame, text_col: str = "text") -> DataFrame:
     many = sum(((ratio(k) >= 0.12).cast("int") for k in counts), F.lit(0)) > 1
     d = d.withColumn("language_code", code).withColumn("multilingual", many)
     d = d.withColumn("language_confidence", F.round(F.when(many & (F.col("language_code") != "unknown"), F.least(sure, F.lit(0.72))).otherwise(sure), 3))
-    return d.drop(*[f"_{k}" for k in counts])
+    return d.drop("_other", *[f"_{k}" for k in counts])
 
 
 # --- access

@@ -328,11 +328,8 @@ def merged_nodes(records: DataFrame) -> DataFrame:
 # --- search
 
 
-def search(chunks: DataFrame, plan: Plan) -> DataFrame:
-    """The best chunks for a question, expanded and diversified as its route says. chunks: id, document_id, chunk_index, text, section.
-
-    One scan scores all chunks; what follows works on a bounded number of rows.
-    """
+def scored(chunks: DataFrame, plan: Plan) -> DataFrame:
+    """Chunks with their components and score."""
     vectors = md5_cosine(chunks, ["id"], plan.question)
     surface, section = F.lower("text"), F.lower("section")
     table = F.contains("text", F.lit(" | "))
@@ -342,14 +339,29 @@ def search(chunks: DataFrame, plan: Plan) -> DataFrame:
     c = c.withColumn("keyword_score", keyword_score(plan, surface)).withColumn("phrase_score", phrase_score(plan, surface)).withColumn("contains_table", table)
     c = c.withColumn("table_score", table_score(plan, surface, table, section, surface, F.lit(1), F.lit(0.5)))
     base = route_score(plan.weights, v, F.col("keyword_score"), F.col("phrase_score"), rerank_score(plan, surface, section, v, table), F.col("table_score"), metadata_score(plan, section), F.lit(0.0))
-    scored = c.withColumn("score", F.round(base + capability_score(plan, surface, facts) + profile_boost(plan, surface, facts), 6)).select("id", "document_id", "chunk_index", "section", "text", "vector_score", "keyword_score", "phrase_score", "table_score", "contains_table", "score")
-    out = ranked(scored, plan.limit)
+    total = F.round(base + capability_score(plan, surface, facts) + profile_boost(plan, surface, facts), 6)
+    return c.withColumn("score", total).select("id", "document_id", "chunk_index", "section", "text", "vector_score", "keyword_score", "phrase_score", "table_score", "contains_table", "score")
+
+
+def search(chunks: DataFrame, plan: Plan) -> DataFrame:
+    """The best chunks for a question, expanded and diversified as its route says. chunks: id, document_id, chunk_index, text, section.
+
+    One scan scores all chunks and keeps the best plan.limit rows, which the driver holds from then on. Neighbours are read and scored
+    for the documents of the first three only; tables are looked for in a scan of their own where the question is about them.
+    """
+    spark = chunks.sparkSession
+    every = scored(chunks, plan)
+    held = lambda df: spark.createDataFrame(df.collect(), every.schema)  # noqa: E731  plan.limit rows and two tables at most
+    out = held(ranked(every, plan.limit))
     if plan.kind == "table_numeric" or plan.route == "table":
-        out = tables_first(scored, plan.limit)
+        best = every.filter("contains_table and table_score >= 0.2").orderBy(F.desc("table_score"), F.desc("phrase_score"), F.desc("keyword_score"), "id").limit(2)
+        out = held(tables_first(out.unionByName(held(best)).dropDuplicates(["id"]), plan.limit))
     if "siblings" in plan.flags:
-        out = siblings_first(out, plan.limit)
+        out = held(siblings_first(out, plan.limit))
     if plan.window:
-        out = with_window(out, scored, plan.window, plan.limit)
+        near = [r.document_id for r in out.orderBy(F.desc("score"), "id").limit(3).collect()]
+        if near:
+            out = held(with_window(out, scored(chunks.filter(F.col("document_id").isin(near)), plan), plan.window, plan.limit))
     if "diversify" in plan.flags:
         out = diversified(out, plan.limit).drop("place")
     return out

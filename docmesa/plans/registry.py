@@ -22,8 +22,17 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables with much to compute for each row.
+HEAVY = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; heavy ones that come in fewer splits than there are cores (a small file with one row group) are dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in HEAVY and df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores:
+        df = df.repartition(cores)
+    return df
 
 
 def _load() -> None:
