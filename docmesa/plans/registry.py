@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 #: Tables with much to compute for each row.
-HEAVY = ("documents", "pages")
+HEAVY = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
