@@ -4,13 +4,15 @@ Equal vectors become one point with a weight. Points start with neighbours from
 leaves of a few random projection trees), where lists are refined among neighbours of
 neighbours. Then the graph is refined across shards: the neighbours of each point, in both directions, are
 joined with each other. A node whose list is full of links has a longer list wanted: its
-component is joined block by block, so it gets all links there. Recall is audited on a
-sample of points against all points of their label, and the refinement goes on while it is low.
+component is joined block by block, so it gets all links there. Recall is audited label by label on a
+sample of points against all points of their label, until enough of them have a link, and the refinement
+goes on while it is low. Labels of one shard, labels with too few links to audit and labels that
+refinement does not complete are joined block by block as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ from docmesa.llm.components import components
 
 #: Neighbours of a point, most neighbours while a shard's lists are enlarged, trees, rows of a shard, rows of a block.
 NEIGHBOURS, MOST, TREES, SHARD, BLOCK = 10, 40, 4, 600, 1024
-#: Points in the audit, recall that ends refinement, rounds at most.
-AUDIT, ENOUGH, ROUNDS = 300, 0.98, 4
+#: Points of a label first asked in the audit, linked points it must see, recall that ends refinement, rounds before a label is joined as a whole.
+AUDIT, LINKED, ENOUGH, ROUNDS = 300, 100, 1.0, 4
+#: Rows of a block where a whole label is joined, rows of it that are compared at a time.
+WIDE, STRIP = 8192, 256
 #: Likeness below the threshold at which neighbours still lead on to others.
 MARGIN = 0.2
 
@@ -167,31 +171,92 @@ def best_edges(edges: DataFrame, keep: int) -> DataFrame:
     return directed.withColumn("r", rank).filter(F.col("r") <= keep).drop("r")
 
 
-def audit(points: DataFrame, edges: DataFrame, threshold: float) -> float:
-    """The share of true links, of a sample of points against all of their label, whose ends one component holds."""
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(AUDIT)
-    queries = [(r.id, r.label, bytes(r.v)) for r in sample.collect()]  # AUDIT rows
+def _within(points: DataFrame, labels: Iterable[tuple[int, int]]) -> DataFrame:
+    """The points of some labels, of (label, bytes of a vector)."""
+    return points.join(points.sparkSession.createDataFrame(sorted(labels), "label bigint, size int"), ["label", "size"], "left_semi")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found_a, found_b = [], []
-            ids, labels, vs = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
-            for label, size in {(q[1], len(q[2])) for q in queries}:
-                mine = [q for q in queries if q[1] == label and len(q[2]) == size]
-                at = np.array([i for i, v in enumerate(vs) if labels[i] == label and len(v) == size], dtype=np.int64)
-                if len(at):
-                    x = np.frombuffer(b"".join([vs[i] for i in at]), dtype=np.float64).reshape(len(at), -1)
-                    y = np.frombuffer(b"".join([q[2] for q in mine]), dtype=np.float64).reshape(len(mine), -1)
-                    i, j = np.nonzero(x @ y.T >= threshold)
-                    found_a += ids[at[i]].tolist()
-                    found_b += [mine[k][0] for k in j]
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
-
-    true = points.mapInArrow(rows, "a bigint, b bigint").filter("a != b")
-    labels = components(edges.filter(F.col("s") >= threshold))
-    joined = true.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    got = joined.agg(F.count("*").alias("n"), F.sum(F.when(F.col("ra") == F.col("rb"), 1).otherwise(0)).alias("k")).first()
-    return 1.0 if not got.n else (got.k or 0) / got.n
+
+def _hits(threshold: float):
+    """For each asked point of a block, its true links there, and how many of them have its root."""
+
+    def group(table: pa.Table) -> pa.Table:
+        x, ids, root, asked = _matrix(table["v"]), table["id"].to_numpy(), table["root"].to_numpy(), table["asked"].to_numpy(zero_copy_only=False).astype(bool)
+        at, of = np.flatnonzero(~asked), np.flatnonzero(asked)
+        n, k = np.zeros(len(of), dtype=np.int64), np.zeros(len(of), dtype=np.int64)
+        for s in range(0, len(of), STRIP):
+            rows = of[s : s + STRIP]
+            hit = (x[rows] @ x[at].T >= threshold) & (ids[rows][:, None] != ids[at])
+            n[s : s + STRIP], k[s : s + STRIP] = hit.sum(axis=1), (hit & (root[rows][:, None] == root[at])).sum(axis=1)
+        return pa.table({"label": table["label"].take(pa.array(of)), "size": table["size"].take(pa.array(of)), "id": pa.array(ids[of], pa.int64()), "n": pa.array(n), "k": pa.array(k)})
+
+    return group
+
+
+def audit(points: DataFrame, roots: DataFrame, sizes: dict[tuple[int, int], int], threshold: float) -> dict[tuple[int, int], float | None]:
+    """For each label the mean share, over a sample of its linked points, of a point's true links whose ends one component holds.
+
+    The sample grows until LINKED of its points have a link; None where more than half of the points would have to be asked for that.
+    """
+    found: dict[tuple[int, int], float | None] = {}
+    rooted = points.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    ask = AUDIT
+    while left := {key: n for key, n in sizes.items() if key not in found}:
+        found |= {key: None for key, n in left.items() if 2 * ask > n}
+        left = {key: n for key, n in left.items() if key not in found}
+        if not left:
+            break
+        counted = points.sparkSession.createDataFrame([(*key, n) for key, n in sorted(left.items())], "label bigint, size int, n bigint")
+        split = lambda rows, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(rows / F.lit(WIDE)).cast("bigint"))
+        every = lambda rows: F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(rows / F.lit(WIDE)).cast("bigint") - 1))
+        here = rooted.join(counted, ["label", "size"])
+        asked = here.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")) < ask)
+        columns = ["label", "size", "id", "v", "root", "asked", "i", "j"]
+        own = here.withColumn("asked", F.lit(False)).withColumn("i", split(F.col("n"), 7)).withColumn("j", every(F.lit(ask))).select(columns)
+        dealt = own.unionByName(asked.withColumn("asked", F.lit(True)).withColumn("i", every(F.col("n"))).withColumn("j", split(F.lit(ask), 11)).select(columns))
+        hits = dealt.groupBy("label", "size", "i", "j").applyInArrow(_hits(threshold), "label bigint, size int, id bigint, n bigint, k bigint")
+        of = hits.groupBy("label", "size", "id").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).filter("n > 0")
+        seen = of.groupBy("label", "size").agg(F.count("*").alias("linked"), F.avg(F.col("k") / F.col("n")).alias("recall")).collect()  # a row for each large label
+        found |= {(r.label, r.size): r.recall for r in seen if r.linked >= LINKED}
+        ask *= 10
+    return found
+
+
+def _ties(threshold: float):
+    """Edges that tie together the points of two blocks which links between the blocks join: at most one a point, however many links there are."""
+
+    def group(table: pa.Table) -> pa.Table:
+        x, ids, side = _matrix(table["v"]), table["id"].to_numpy(), table["side"].to_numpy()
+        i, j = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: the block with itself
+        root = np.arange(len(ids))
+        for s in range(0, len(i), STRIP):
+            rows = i[s : s + STRIP]
+            hit = x[rows] @ x[j].T >= threshold
+            while True:
+                p, q = np.nonzero(hit & (root[rows][:, None] != root[j]))
+                if not len(p):
+                    break
+                up = np.arange(len(ids))
+                np.minimum.at(up, np.maximum(root[rows[p]], root[j[q]]), np.minimum(root[rows[p]], root[j[q]]))
+                while (up[up] != up).any():
+                    up = up[up]
+                root = up[root]
+        return _edges(ids, ids[root], np.ones(len(ids)))
+
+    return group
+
+
+def _dealt(members: DataFrame, key: list[str], count: str, rows: int) -> DataFrame:
+    """Each member once for every pair (i, j) of blocks of its group that its block is in; side: 0 in i, 1 in j, 2 where they are one."""
+    blocks = members.withColumn("blocks", F.ceil(F.col(count) / rows).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return dealt.select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "id", "w", "v")
+
+
+def exact_ties(points: DataFrame, threshold: float) -> DataFrame:
+    """All points of a label against each other, block by block: edges with the components that all links make."""
+    counted = points.join(points.groupBy("label", "size").agg(F.count("*").alias("n")).filter("n > 1"), ["label", "size"])
+    return _dealt(counted, ["label", "size"], "n", WIDE).groupBy("label", "size", "i", "j").applyInArrow(_ties(threshold), _EDGES)
 
 
 def _block_pairs(threshold: float):
@@ -224,40 +289,50 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     # equal vectors: a point, its number is a hash of label and vector
     every = every.withColumn("id", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
     points = materialise(every.filter("id is not null").groupBy("id", "label", "v").agg(F.count("*").alias("w"), F.min("vec_id").alias("first")), "points")
-    plain = points.select("id", "label", "w", "v")
-    sizes = {(r.label, r.size): r.n for r in plain.groupBy("label", F.octet_length("v").alias("size")).agg(F.count("*").alias("n")).filter(F.col("n") > SHARD).collect()}  # a row for each large label
+    plain = points.select("id", "label", "w", "v", F.octet_length("v").alias("size"))
+    sizes = {(r.label, r.size): r.n for r in plain.groupBy("label", "size").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD).collect()}  # a row for each large label
     depths = {k: int(np.ceil(np.log2(c / SHARD))) for k, c in sizes.items()}
 
-    def trees(which: range) -> DataFrame:
-        leaves = plain.mapInArrow(_shards(depths, which), "id bigint, v binary, label bigint, size int, tree int, leaf bigint")
+    def trees(some: DataFrame, which: range) -> DataFrame:
+        leaves = some.select("id", "label", "w", "v").mapInArrow(_shards(depths, which), "id bigint, v binary, label bigint, size int, tree int, leaf bigint")
         keyed = leaves.withColumn("chunk", F.pmod(F.xxhash64("id", "tree"), F.lit(1 << 30)))
         counted = leaves.groupBy("label", "size", "tree", "leaf").count()
         # leaves that did not split, as of a dense cluster, are dealt into chunks at random, other ones in each tree
         sized = keyed.join(counted, ["label", "size", "tree", "leaf"]).withColumn("chunk", F.expr(f"chunk % cast(ceil(count / {4 * SHARD}) as bigint)"))
         return sized.select("id", "v", "label", "size", "tree", "leaf", "chunk").groupBy("label", "size", "tree", "leaf", "chunk").applyInArrow(_shard_group(threshold), _EDGES)
 
-    edges = materialise(trees(range(TREES)), "neighbours")
-    recall = 0.0
-    for turn in range(ROUNDS):
-        lists = best_edges(edges, 2 * NEIGHBOURS)
-        vectors = lists.join(plain.select("id", "v"), "id")
-        self_ = plain.select("id", "v", F.col("id").alias("hub"))
-        local = vectors.select("id", "v", "hub").unionByName(self_).withColumn("bucket", F.pmod(F.xxhash64("hub"), F.lit(4 * n))).withColumn("size", F.octet_length("v"))
-        refined = local.groupBy("bucket", "size").applyInArrow(_local_join(threshold), _EDGES)
-        more = [edges, refined] + ([trees(range(TREES * (turn + 1), TREES * (turn + 2)))] if turn else [])
-        union = more[0]
-        for m in more[1:]:
-            union = union.unionByName(m)
-        edges = materialise(union.groupBy("a", "b").agg(F.max("s").alias("s")), "neighbours")
-        recall = audit(plain, edges, threshold)
-        if recall >= ENOUGH:
-            break
-    roots = components(edges.filter(F.col("s") >= threshold))
+    big = spark.createDataFrame(sorted(sizes), "label bigint, size int")
+    ties = exact_ties(plain.join(big, ["label", "size"], "left_anti"), threshold)
+    recall = 1.0
+    if sizes:
+        edges = materialise(trees(_within(plain, sizes), range(TREES)), "neighbours")
+        left, exact = dict(sizes), set()
+        for turn in range(ROUNDS):
+            some = _within(plain, left).select(plain.columns)
+            lists = best_edges(edges, 2 * NEIGHBOURS)
+            vectors = lists.join(some.select("id", "v"), "id")
+            self_ = some.select("id", "v", F.col("id").alias("hub"))
+            local = vectors.select("id", "v", "hub").unionByName(self_).withColumn("bucket", F.pmod(F.xxhash64("hub"), F.lit(4 * n))).withColumn("size", F.octet_length("v"))
+            refined = local.groupBy("bucket", "size").applyInArrow(_local_join(threshold), _EDGES)
+            more = [edges, refined] + ([trees(some, range(TREES * (turn + 1), TREES * (turn + 2)))] if turn else [])
+            union = more[0]
+            for m in more[1:]:
+                union = union.unionByName(m)
+            edges = materialise(union.groupBy("a", "b").agg(F.max("s").alias("s")), "neighbours")
+            for key, share in audit(some, components(edges.filter(F.col("s") >= threshold)), left, threshold).items():
+                if share is None or share >= ENOUGH:
+                    del left[key]
+                    recall = min(recall, 1.0 if share is None else share)
+                    exact |= {key} if share is None else set()
+            if not left:
+                break
+        ties = ties.unionByName(edges.filter(F.col("s") >= threshold))
+        if exact := exact | set(left):
+            ties = ties.unionByName(exact_ties(_within(plain, exact), threshold))
+    roots = components(ties)
     members = plain.join(roots.withColumnRenamed("node", "id"), "id")
     counts = members.groupBy("root").agg(F.count("*").alias("c"))
-    blocks = members.join(counts, "root").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "id", "w", "v")
+    dealt = _dealt(members.join(counts, "root"), ["root"], "c", BLOCK)
     linked = dealt.groupBy("root", "i", "j").applyInArrow(_block_pairs(threshold), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
     named = points.select("id", "w", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -344,6 +344,45 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_lone_links_in_labels_of_many_shards(spark):
+    """Few links, each of a lone pair just above the threshold: a small sample meets none, a few trees lose some."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(24000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(0, 160, 2):
+        side = x[k + 1] - (x[k + 1] @ x[k]) * x[k]
+        x[k + 1] = 0.932 * x[k] + (1 - 0.932**2) ** 0.5 * side / np.linalg.norm(side)
+    label = np.where(np.arange(len(x)) < 20000, 1, 2)
+    x, label = x.astype(np.float32), label
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = {k: 0 for k in range(len(x))}
+    for s in range(0, len(x), 1000):
+        i, j = np.nonzero(unit[s : s + 1000] @ unit.T >= 0.93)
+        for p, q in zip((i + s).tolist(), j.tolist(), strict=True):
+            links[p] += p != q and label[p] == label[q]
+    assert sum(links.values()) == 160
+    d = spark.createDataFrame([(k, v, n) for k, (v, n) in enumerate(zip(x.tolist(), label.tolist(), strict=True))], "vec_id bigint, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicates(d).collect()
+    assert {g.vec_id: g.n_links for g in got} == links
+    assert all(g.component_id == (g.vec_id - g.vec_id % 2 if g.n_links else g.vec_id) for g in got)
+    assert {g.audit_recall for g in got} == {1.0}
+
+
+def test_audit_measures_what_is_missing(spark):
+    """Links of many copies with no edge found: the audit says 0, and says nothing where no point has a link."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(2000, 16))
+    x[1:1000:2] = x[0:1000:2] + r.normal(size=(500, 16)) * 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, 1 if k < 1000 else 2, 1, v.tobytes(), 128) for k, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "id bigint, label bigint, w bigint, v binary, size int")
+    sizes = {(1, 128): 1000, (2, 128): 1000}
+    none = spark.createDataFrame([], "node bigint, root bigint")
+    assert embedding_dedup.audit(points, none, sizes, 0.99) == {(1, 128): 0.0, (2, 128): None}
+    whole = spark.createDataFrame([(k, k - k % 2) for k in range(1000)], "node bigint, root bigint")
+    assert embedding_dedup.audit(points, whole, sizes, 0.99) == {(1, 128): 1.0, (2, 128): None}
+
+
 def test_descent_finds_near_rows():
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 8))
