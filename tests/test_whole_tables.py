@@ -1,0 +1,23 @@
+"""Queries that answer for every document, on texts that a filter before the operator would leave out."""
+
+import pytest
+
+from docmesa.plans.registry import QUERIES
+
+
+def answers(spark, tmp_path, name, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return [tuple(r)[1:] for r in sorted(QUERIES[name](spark, str(tmp_path)).collect())]
+
+
+@pytest.mark.parametrize(
+    ("name", "texts", "want"),
+    [
+        ("identifiers_of_all", ["Pump P-1001 and valve V-20345", "see HX-204", "none here"], [("P-1001,V-20345",), ("HX-204",), ("",)]),
+        ("revisions_of_all", ["Issued as Rev. B", "Revision 3 of 2024-01-05", "none here"], [("B", 0), ("3", 1), ("", 0)]),
+        ("formulas_of_all", ["x = y + z", "none here"], [(1,), (0,)]),
+        ("tables_of_all", ["a | b\n1 | 2\n3 | 4", "|---|", "none here"], [(2, 2), (0, 0), (0, 0)]),
+    ],
+)
+def test_every_document_is_asked(spark, tmp_path, name, texts, want):
+    assert answers(spark, tmp_path, name, texts) == want
