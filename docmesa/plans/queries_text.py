@@ -224,3 +224,8 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def short_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _documents(spark, sf_dir).filter(F.length("text") <= 80)
     return d.select("doc_id", F.lit(0).alias("chunk_index"), T.preview(F.col("text"), 88).alias("preview"))
+
+
+@query("SELECT doc_id, CASE WHEN length(p) <= 88 THEN p ELSE rtrim(p[1:85]) || '...' END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS p FROM documents)")
+def document_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", T.preview(F.col("text"), 88).alias("preview"))

@@ -21,3 +21,9 @@ def answers(spark, tmp_path, name, texts):
 )
 def test_every_document_is_asked(spark, tmp_path, name, texts, want):
     assert answers(spark, tmp_path, name, texts) == want
+
+
+def test_long_texts_are_cut(spark, tmp_path):
+    """88 characters stay, 89 are cut to 85 and an ellipsis, without a blank before it."""
+    texts = ["a" * 88, "a" * 89, "short  one\n", "b" * 84 + " " + "c" * 20]
+    assert answers(spark, tmp_path, "document_previews", texts) == [("a" * 88,), ("a" * 85 + "...",), ("short one",), ("b" * 84 + "...",)]
