@@ -12,6 +12,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -133,7 +134,7 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         names = [name]
         for _, value in _NAMES.findall(rest) if rest else ():
-            names += [w.lower() for w in re.split(r"[^A-Za-z]+", value) if w][:4]
+            names += [w.lower() for w in re.split(r"[^A-Za-z]+", value) if w]
         stack.append((name, tuple(names)))
         in_link = in_link if name != "body" else 0
     flush()
@@ -157,16 +158,17 @@ def vectors(found: list[Block]) -> np.ndarray:
     total = max(1, len(found))
     for k, b in enumerate(found):
         row = x[k]
-        for name in b.path[-24:-1]:
+        for name in b.path[:-1]:
             row[_slot(name, PATH, "p")] = 1.0
         row[PATH + _slot(b.path[-1], LEAF, "l")] = 1.0
-        words = _WORD.findall(b.text[:2000].lower())
+        words = _WORD.findall(b.text.lower())
         if words:
-            add = 1.0 / len(words) ** 0.5
-            for w in words[:40]:
-                row[PATH + LEAF + _slot(w, WORDS, "w")] += add
+            for w, n in Counter(words).items():
+                row[PATH + LEAF + _slot(w, WORDS, "w")] += n
+            part = row[PATH + LEAF : PATH + LEAF + WORDS]
+            part /= np.sqrt((part**2).sum())
         size = len(b.text)
-        row[-MEASURES:] = (np.log1p(size) / 8, np.log1p(len(words)) / 6, b.linked / size if size else 0, b.text[-1] in ".!?\"'…:;", sum(map(str.isupper, b.text[:200])) / min(size, 200), min(1, b.controls), k / total, len(b.path) / 20, 1.0)
+        row[-MEASURES:] = (np.log1p(size) / 8, np.log1p(len(words)) / 6, b.linked / size if size else 0, b.text[-1] in ".!?\"'…:;", sum(map(str.isupper, b.text)) / size, min(1, b.controls), k / total, len(b.path) / 20, 1.0)
     return x
 
 

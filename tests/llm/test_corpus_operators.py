@@ -155,6 +155,23 @@ def test_blocks():
     assert html_extraction.blocks("") == [] and html_extraction.blocks("<p") == [] and [x.text for x in html_extraction.blocks("a < b")] == ["a < b"]
 
 
+def test_vectors_of_whole_blocks():
+    """What differs after the 40th word, the 200th or 2,000th character, the fourth word of a class or 23 names further out is seen."""
+    vector = lambda page: html_extraction.vectors(html_extraction.blocks(page))[0]
+    many = "word " * 400
+    for a, b in (
+        (f"<p>{'word ' * 50}end", f"<p>{'word ' * 50}comments"),
+        (f"<p>{many}end one", f"<p>{many}end two"),
+        (f"<p>{many}one two", f"<p>{many}ONE TWO"),
+        (f"<p>{many * 2}", f"<p>{many * 3}"),
+        ('<div class="a b c d footer"><p>text', '<div class="a b c d article"><p>text'),
+        (f"<aside>{'<div>' * 30}<p>text", f"<article>{'<div>' * 30}<p>text"),
+    ):
+        assert not np.array_equal(vector(a), vector(b))
+    words = vector(f"<p>{many}")[html_extraction.PATH + html_extraction.LEAF :][: html_extraction.WORDS]
+    assert abs(np.linalg.norm(words) - 1) < 1e-5
+
+
 def test_labeller_held_out(labeller):
     good = total = 0
     for page in html_extraction.invented(150, 99):
