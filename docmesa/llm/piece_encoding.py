@@ -81,6 +81,7 @@ class OffsetEncoder:
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         # bytes of source under a piece: a blank mark stands for one byte
+        self.byte = np.array([p.type == 6 for p in proto.pieces])  # its surface in the library is empty, or at the last byte the character
         self.size = np.array([1 if p.type == 6 else len(p.piece.replace(BLANK, " ").encode()) for p in proto.pieces])
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -133,7 +134,7 @@ class OffsetEncoder:
         data, at, cut = normal.encode(), 0, [0]
         pieces = self.bare.encode(normal, return_type="proto").pieces if ids else []
         for p in pieces:
-            at += len(p.surface.encode())
+            at += 1 if self.byte[p.id] else len(p.surface.encode())
             cut.append(at)
         assert at == len(data) and [p.id for p in pieces] == list(ids)
         spot = came[np.array(cut)] if ids else np.zeros(1, dtype=np.int64)

@@ -257,6 +257,15 @@ def test_pieces_of_odd_texts(model):
         assert (int(g.end[-1]) if len(g.end) else 0) == len(t.encode())
 
 
+def test_shortcut_equals_the_full_path(model):
+    short, full = piece_encoding.OffsetEncoder(model), piece_encoding.OffsetEncoder(model)
+    assert short.plain
+    full.plain = False
+    for t in [*texts(), "", " ", "  two  blanks ", "\n\ttab", "é ß 中文 😀", "a\u2581b"]:
+        a, b = short.encode(t or ""), full.encode(t or "")
+        assert a.ids.tolist() == b.ids.tolist() and a.begin.tolist() == b.begin.tolist() and a.end.tolist() == b.end.tolist() and a.decoded == b.decoded
+
+
 def test_compiled_map_and_alignment(model):
     from sentencepiece import sentencepiece_model_pb2
 
