@@ -11,7 +11,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,12 @@ def _only_digits(s: str) -> str:
     return "".join([c for c in s if "0" <= c <= "9"])
 
 
+def octet(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or len(short) == 3 and short <= "255"
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Goes from one at sign to the next, as a scan from the left would: each takes the longest local part behind the last match."""
     out, end, at = [], 0, text.find("@")
@@ -62,7 +71,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return found
     if "." in text:
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(octet, m[0].split(".")))]
     found += [("card", *m.span()) for m in _CARD.finditer(text) if len(m[0]) >= 13 and 13 <= len(d := _only_digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_only_digits(m[0])) <= 15]
@@ -113,40 +122,38 @@ def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
             yield m.start(), m.end(), out
 
 
-def features(text: str, a: int, b: int, kind: str, chain: tuple[int, int]) -> list[str]:
-    """Names of what holds for a whole span as an entity of a kind."""
-    span = text[a:b]
+@lru_cache(1 << 16)
+def features(span: str, left: str, right: str, first: bool, last: bool, spelt: bool) -> dict[str, tuple[str, ...]]:
+    """For each kind that a segment may be, the names of what holds for it as an entity of that kind.
+
+    left, right: what stands beside it; first, last: whether it begins or ends its chain. What repeats is described once.
+    """
     groups = [len(g) for g in _GROUP.findall(span)]
     seps = re.sub(r"[0-9]+", "", span.lstrip("+("))
-    digits = sum(groups)
-    left, right = text[max(0, a - CONTEXT) : a], text[b : b + 2]
     words = [w.strip(".,:;()[]\"'=#").lower() for w in left.split()][-2:]
-    out = ["any", f"digits{digits}", f"groups{min(len(groups), 6)}", "shape" + "-".join(str(min(g, 6)) for g in groups[:6]), "seps" + "".join(sorted(set(seps)))]
-    out.append(f"cue{any(w in _CUES[kind] for w in words)}")
-    out += [f"start{span[0] if span[0] in '+(' else '0' if span[0] == '0' else 'd'}", f"edges{a == chain[0]}{b == chain[1]}"]
-    out.append(f"touch{left[-1:].isalnum() or left[-1:] in ('.', '-', '/', '_', '#', '$', '€')}{right[:1].isalnum() or right[:1] in ('%', '/', '_', '-') or (right[:1] == '.' and right[1:].isdigit())}")
-    if kind == "card":
-        out.append(f"luhn{luhn(_only_digits(span))}")
-    if kind == "ip":
-        out.append(f"octets{len(groups) == 4 and all(p.isdigit() and int(p) <= 255 for p in span.split('.'))}")
-    if kind == "email":
-        out.append(f"signs{bool(re.search(r'[\[({]at', span, re.I))}{bool(re.search(r'dot', span, re.I))}{'.' in span}")
-    if kind == "phone":
-        out += [f"one{len(set(seps) - set('()'))}", f"date{bool(re.match(r'(19|20)[0-9]{2}[-./][01]?[0-9][-./]|[0-3]?[0-9][-./][01]?[0-9][-./](19|20)[0-9]{2}', span))}"]
-    return [f"{kind}:{f}" for f in out]
-
-
-def arcs(text: str, chain: tuple[int, int, list[tuple[int, int]]]) -> list[tuple[int, int, str, list[str]]]:
+    shared = ["any", f"digits{sum(groups)}", f"groups{min(len(groups), 6)}", "shape" + "-".join(str(min(g, 6)) for g in groups[:6]), "seps" + "".join(sorted(set(seps)))]
+    shared += [f"start{span[0] if span[0] in '+(' else '0' if span[0] == '0' else 'd'}", f"edges{first}{last}"]
+    shared.append(f"touch{left[-1:].isalnum() or left[-1:] in ('.', '-', '/', '_', '#', '$', '€')}{right[:1].isalnum() or right[:1] in ('%', '/', '_', '-') or (right[:1] == '.' and right[1:].isdigit())}")
+    own = {
+        "email": lambda: [f"signs{bool(re.search(r'[\[({]at', span, re.I))}{bool(re.search(r'dot', span, re.I))}{'.' in span}"],
+        "ip": lambda: [f"octets{len(groups) == 4 and all(p.isdigit() and octet(p) for p in span.split('.'))}"],
+        "card": lambda: [f"luhn{luhn(_only_digits(span))}"],
+        "phone": lambda: [f"one{len(set(seps) - set('()'))}", f"date{bool(re.match(r'(19|20)[0-9]{2}[-./][01]?[0-9][-./]|[0-3]?[0-9][-./][01]?[0-9][-./](19|20)[0-9]{2}', span))}"],
+    }
+    return {kind: tuple([f"{kind}:{f}" for f in (*shared, f"cue{any(w in _CUES[kind] for w in words)}", *own[kind]())]) for kind in (("email",) if spelt else KINDS[1:])}
+
+
+def arcs(text: str, chain: tuple[int, int, list[tuple[int, int]]]) -> list[tuple[int, int, str, tuple[str, ...]]]:
     a, b, segments = chain
     spelt = _SPELT_SIGN.search(text, a, b) is not None
-    return [(x, y, kind, features(text, x, y, kind, (a, b))) for x, y in segments for kind in (("email",) if spelt else KINDS[1:])]
+    return [(x, y, kind, names) for x, y in segments for kind, names in features(text[x:y], text[max(0, x - CONTEXT) : x], text[y : y + 2], x == a, y == b, spelt).items()]
 
 
-def _positions(found: list[tuple[int, int, str, list[str]]]) -> dict[int, int]:
+def _positions(found: list[tuple[int, int, str, tuple[str, ...]]]) -> dict[int, int]:
     return {p: k for k, p in enumerate(sorted({p for x in found for p in x[:2]}))}
 
 
-def decode(found: list[tuple[int, int, str, list[str]]], weights: dict[str, float]) -> list[tuple[str, int, int]]:
+def decode(found: list[tuple[int, int, str, tuple[str, ...]]], weights: dict[str, float]) -> list[tuple[str, int, int]]:
     """The best choice of segments that do not overlap; what scores below leaving it out stays out."""
     at = _positions(found)
     best, back = [0.0] * len(at), [None] * len(at)
@@ -267,10 +274,12 @@ def all_spans(text: str, weights: dict[str, float]) -> tuple[list[tuple[str, int
     """Base spans, and these with the spans of the field that touch none of them. Both by kind, then start."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
+    begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     more = []
     for chain in candidates(text):
         for kind, a, b in decode(arcs(text, chain), weights):
-            if not any(a < y and x < b for x, y in taken):
+            k = bisect_left(begins, b)  # base spans that begin before the end
+            if not k or reach[k - 1] <= a:
                 more.append((kind, a, b))
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if more else base
 
@@ -282,6 +291,9 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 def find_personal_data(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, as kind:start:end in code points).
 
+    Base spans have no bound. A segment of the field has at most MAX_GROUPS digit groups and 19 digits; an address that is spelt out has
+    at most 64 characters before the sign and 63 in a label, as addresses may have.
+
     Null text counts as empty and has no spans; rows with equal or null ids each give a row; an
     empty table gives none; other columns are left out.
     """

@@ -450,6 +450,50 @@ def test_base_spans():
         assert pii.base_spans(t) is not None
 
 
+def test_octets_of_any_length(weights):
+    """Runs of digits longer than an int may be read from."""
+    long = "1" * 5000
+    assert pii.base_spans(long + ".1.1.1") == pii.base_spans("1.1.1." + long) == [] and pii.base_spans("0" * 5000 + "255.1.1.1") == [("ip", 0, 5009)]
+    assert [pii.octet(x) for x in ("", "0", "000", "255", "256", "0255", "1000", "99")] == [True, True, True, True, False, True, False, True]
+    assert pii.all_spans(f"{long}.1.1.1 and 10.0.0.1", weights)[0] == [("ip", 5011, 5019)]
+
+
+def test_many_short_groups(weights):
+    """Chains of many groups take time in proportion to their length."""
+    import time
+
+    begin = time.process_time()
+    base, every = pii.all_spans("1.2." * 40000, weights)
+    assert len(base) == 20000 and time.process_time() - begin < 30
+
+
+def test_decoder_against_every_segmentation():
+    """On small lattices: the best sum over all sets of segments that do not overlap."""
+    r = random.Random(12)
+    for _ in range(300):
+        points = sorted(r.sample(range(30), r.randint(2, 7)))
+        found = [(a, b, r.choice(pii.KINDS), (f"f{r.randrange(6)}", f"g{r.randrange(6)}")) for a in points for b in points if a < b and r.random() < 0.5]
+        if not found:
+            continue
+        weights_ = {f"{c}{k}": r.uniform(-2, 2) for c in "fg" for k in range(6)}
+        worth = lambda x: sum(weights_[f] for f in x[3])
+
+        top = max(0.0, best_of(found, worth))
+        got = pii.decode(found, weights_)
+        assert all(p[2] <= q[1] for p, q in zip(got, got[1:], strict=False))
+        score = sum(max(worth(x) for x in found if (x[2], x[0], x[1]) == g) for g in got)
+        assert abs(score - top) < 1e-9
+
+
+def best_of(found, worth):
+    """The greatest worth of any subset without overlaps, by trying all."""
+    if not found:
+        return 0.0
+    head, *rest = found
+    apart = [x for x in rest if x[1] <= head[0] or x[0] >= head[1]]
+    return max(best_of(rest, worth), worth(head) + best_of(apart, worth))
+
+
 def test_field_held_out(weights):
     hit = extra = missed = 0
     for t, gold in pii.invented(400, 321):
