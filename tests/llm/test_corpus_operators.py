@@ -326,6 +326,45 @@ def test_fingerprints(spark, docs):
     assert fingerprints.edited_fingerprints(d.limit(0)).count() == 0 and fingerprints.edited_fingerprints(d.limit(1)).first().near_next == 1.0
 
 
+def test_caseless_equivalents(spark):
+    """The canonical form is stable: what folding decomposes is composed again."""
+    import unicodedata
+
+    def form(t):
+        n = unicodedata.normalize
+        return re.sub("[\\s\x1c-\x1f]+", " ", n("NFKC", n("NFKC", n("NFD", t).casefold()).casefold())).strip(" ")
+
+    r = random.Random(4)
+    pool = [chr(c) for c in [*range(32, 0x500), *range(0x1E00, 0x2000), *range(0x2100, 0x2180), *range(0xFB00, 0xFB07), *[0x301, 0x308, 0x345] * 30, 0x1100, 0x1161]]
+    rows = [(0, "\u03aa\u0301 x"), (1, "\u0390 x"), (2, "a\x85b"), (3, "a b")] + [(k, "".join(r.choice(pool) for _ in range(r.randint(1, 6)))) for k in range(4, 3000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = d.select("doc_id", "text", fingerprints.canonical(F.col("text")).alias("c")).withColumn("again", fingerprints.canonical(F.col("c"))).collect()
+    assert all(g.c == g.again == form(g.text) for g in got)
+    prints = {g.doc_id: g.fingerprint for g in fingerprints.fingerprint_documents(d.filter("doc_id < 4")).collect()}
+    assert prints[0] == prints[1] and prints[2] == prints[3]
+
+
+def test_clashing_digests(spark, monkeypatch):
+    """With a hash that nearly always clashes, fingerprints and edited fingerprints are equal just where forms are."""
+    monkeypatch.setattr(fingerprints, "wide", lambda form: (F.length(form).cast("bigint"), F.lit(7).cast("bigint")))
+    for few in (10_000, 0):
+        monkeypatch.setattr(fingerprints, "FEW", few)
+        texts_ = ["ab cd", "ab ef", "AB CD", "xy zw", "ab cd", "ab", "cd", ""]
+        d = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+        got = sorted(fingerprints.edited_fingerprints(d).collect())
+        edited = [t[: len(t) - len(t) // 2] + texts_[(k + 1) % len(texts_)][: len(t) // 2] for k, t in enumerate(texts_)]
+        form = lambda t: " ".join(t.casefold().split())
+        every = [(form(t), g.fingerprint) for t, g in zip(texts_, got, strict=True)] + [(form(t), g.edited_fingerprint) for t, g in zip(edited, got, strict=True)]
+        assert all((a[0] == b[0]) == (a[1] == b[1]) for a in every for b in every)
+
+
+def test_places_of_many_bounds(spark):
+    cuts = list(range(0, 3000, 7))
+    d = spark.range(-5, 3010).select("id", fingerprints._place(cuts, F.col("id")).alias("p"))
+    assert all(r.p == sum(c <= r.id for c in cuts) for r in d.collect())
+    assert spark.range(3).select(fingerprints._place([], F.col("id")).alias("p")).first().p == 0
+
+
 def test_fingerprints_odd_rows(odd):
     assert fingerprints.edited_fingerprints(odd).count() == 6 and fingerprints.fingerprint_documents(odd).count() == 6
 
