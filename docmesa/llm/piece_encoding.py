@@ -4,8 +4,8 @@ The normaliser walks the model's compiled character map by longest prefix and re
 every normalised byte, the byte of the source it came from. Pieces are laid over the
 normalised text, and their ends go through that record to spans of the source's bytes.
 
-Where the map is empty, as in models with identity normalisation and byte fallback, the record
-is known from the pieces alone: each covers as many bytes as it has, a blank mark one.
+Only bytes that begin a key of the map are walked from; what lies between stands for itself and
+goes over, with its record, in whole runs.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ class CharsMap:
     def __init__(self, blob: bytes):
         self.units: list[int] = []
         self.replacements = b""
+        self.firsts = np.zeros(256, dtype=bool)  # bytes that begin a key
         if blob:
             (n,) = struct.unpack_from("<I", blob)
             self.units = list(struct.unpack_from(f"<{n // 4}I", blob, 4))
             self.replacements = blob[4 + n :]
+            root = _offset(self.units[0])
+            self.firsts = np.array([(root ^ c) < len(self.units) and self.units[root ^ c] & 0x800000FF == c for c in range(256)])
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes | None]:
         """Bytes of the longest key that begins at `at`, and what replaces them."""
@@ -75,70 +78,65 @@ class OffsetEncoder:
         self.map = CharsMap(spec.precompiled_charsmap)
         self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.plain = not self.map.units and not self.squeeze and self.dummy and self.escape and not proto.denormalizer_spec.precompiled_charsmap
-        self.plain = self.plain and proto.trainer_spec.byte_fallback  # then no piece is unknown and each has its own length
         # the same model on text that is normalised already
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        # bytes of source under a piece: a blank mark stands for one byte
         self.byte = np.array([p.type == 6 for p in proto.pieces])  # its surface in the library is empty, or at the last byte the character
-        self.size = np.array([1 if p.type == 6 else len(p.piece.replace(BLANK, " ").encode()) for p in proto.pieces])
-
-    def normalise(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text, and for each of its bytes and its end the byte of the source it came from."""
-        data, out, came = text.encode(), bytearray(), []
-        blank = BLANK.encode() if self.escape else b" "
-
-        def put(piece: bytes, at: int) -> None:
-            for k in range(len(piece)):
-                if piece[k : k + 1] == b" ":
-                    if self.squeeze and (not out or out.endswith(blank)):
-                        continue
-                    out.extend(blank)
-                    came.extend([at] * len(blank))
-                else:
-                    out.append(piece[k])
-                    came.append(at)
-
-        at, first = 0, True
-        while at < len(data):
-            n, piece = self.map.longest(data, at)
+        self.size = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces])  # normalised bytes
+
+    def runs(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """What the map makes of the bytes, and for each byte of that the byte it came from."""
+        x = np.frombuffer(data, dtype=np.uint8)
+        parts, came, at = [], [], 0
+        for k in np.flatnonzero(self.map.firsts[x] & (x & 0xC0 != 0x80)).tolist() if self.map.units else ():
+            if k < at:
+                continue  # within a key
+            n, piece = self.map.longest(data, k)
             if piece is None:
-                n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-                piece = data[at : at + n]
-            if first and not (self.squeeze and not piece.strip(b" ")):
-                first = False
-                if self.dummy:
-                    out.extend(blank)
-                    came.extend([at] * len(blank))
-            identity = piece == data[at : at + n]
-            if identity and piece != b" ":  # bytes map to themselves
-                out.extend(piece)
-                came.extend(range(at, at + n))
-            else:
-                put(piece, at)
-            at += n
-        while self.squeeze and out.endswith(blank):
-            del out[-len(blank) :]
-            del came[-len(blank) :]
-        return out.decode(), np.array([*came, len(data)], dtype=np.int64)
+                continue
+            parts += [x[at:k], np.frombuffer(piece, dtype=np.uint8)]
+            same = piece == data[k : k + n]
+            came += [np.arange(at, k), np.arange(k, k + n) if same else np.full(len(piece), k)]
+            at = k + n
+        return np.concatenate([*parts, x[at:]]), np.concatenate([*came, np.arange(at, len(x))])
+
+    def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
+        """The normalised text, and for each of its bytes and its end the byte of the source it came from."""
+        data = text.encode()
+        body, came = self.runs(data)
+        blank = np.frombuffer(BLANK.encode() if self.escape else b" ", dtype=np.uint8)
+        if self.squeeze:  # of blanks in a row the first stays, but none at the head
+            space = body == 32
+            keep = ~(space & np.append(True, space[:-1])) if len(body) else space
+            body, came = body[keep], came[keep]
+        dummy = self.dummy and len(data) > 0 and (len(body) > 0 or not self.squeeze)
+        if dummy:
+            body, came = np.append(np.uint8(32), body), np.append(came[:1] if self.squeeze else 0, came)
+        space = body == 32
+        wide = np.where(space, len(blank), 1)
+        out, came = np.repeat(body, wide), np.repeat(came, wide)
+        first = (np.cumsum(wide) - wide)[space]
+        for k, c in enumerate(blank):
+            out[first + k] = c
+        made = out.tobytes()
+        while self.squeeze and made.endswith(blank.tobytes()):
+            made = made[: -len(blank)]
+        return made, np.append(came[: len(made)], len(data)).astype(np.int64)
 
     def encode(self, text: str) -> Spans:
-        """Ids, byte spans and the decoded text. An empty text has no pieces."""
-        if self.plain and BLANK not in text:
-            ids = np.array(found := self.whole.encode(text, num_threads=1), dtype=np.int32)
-            end = np.cumsum(self.size[ids], dtype=np.int64) - 1  # less the dummy blank
-            return Spans(ids, np.concatenate([np.zeros(min(1, len(end)), dtype=np.int64), end[:-1]]), end, self.whole.decode(found))
+        """Ids, byte spans and the decoded text. An empty text has no pieces. Should the pieces of a model not
+        lie on the normalised text, each has the span of the whole text."""
         normal, came = self.normalise(text)
-        ids = self.whole.encode(text)
-        data, at, cut = normal.encode(), 0, [0]
-        pieces = self.bare.encode(normal, return_type="proto").pieces if ids else []
-        for p in pieces:
-            at += 1 if self.byte[p.id] else len(p.surface.encode())
-            cut.append(at)
-        assert at == len(data) and [p.id for p in pieces] == list(ids)
-        spot = came[np.array(cut)] if ids else np.zeros(1, dtype=np.int64)
-        return Spans(np.array(ids, dtype=np.int32), spot[:-1], spot[1:], self.whole.decode(list(ids)))
+        found = self.whole.encode(text, num_threads=1)
+        ids = np.array(found, dtype=np.int32)
+        cut = np.append(0, np.cumsum(self.size[ids], dtype=np.int64))
+        if cut[-1] != len(normal):  # unknown pieces have no length of their own
+            pieces = self.bare.encode(normal.decode(), return_type="proto").pieces
+            cut = np.append(0, np.cumsum([1 if self.byte[p.id] else len(p.surface.encode()) for p in pieces], dtype=np.int64))
+        if cut[-1] != len(normal) or len(cut) != len(ids) + 1:
+            return Spans(ids, np.zeros(len(ids), dtype=np.int64), np.full(len(ids), came[-1]), self.whole.decode(found))
+        spot = came[cut]
+        return Spans(ids, spot[:-1], spot[1:], self.whole.decode(found))
 
 
 def encode_documents(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
