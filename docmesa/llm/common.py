@@ -42,11 +42,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share; a temporary one where it is unset."""
+    """The folder in spark.checkpoint.dir that driver and executors share. Where it is unset, as in tests, a temporary
+    one if all is one machine; on a cluster that is an error, for executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docmesa-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,6 +66,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of tables that were written and are not referred to any more; else they
     stay until the driver happens to collect its garbage."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmesa.llm.common import materialise, partitions
+from docmesa.llm.common import materialise, partitions, unused
 from docmesa.llm.components import components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -430,6 +430,7 @@ def one_of_each(df: DataFrame, words: int = 5, top: int = 8, bottom: int = 10) -
     every, labels = linked_classes(df, words, Threshold(top, bottom), "doc_id", "text")
     rooted = every.filter("node is not null").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    kept = rooted.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.row").alias("_row"))
-    gone = rooted.select(F.col("row").alias("_row")).distinct().join(kept, "_row", "left_anti")
-    return df.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text")).join(gone, "_row", "left_anti").dropDuplicates(["_row"]).drop("_row")
+    (row,) = unused(df, "row")
+    kept = rooted.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.row").alias(row))
+    gone = rooted.select(F.col("row").alias(row)).distinct().join(kept, row, "left_anti")
+    return df.withColumn(row, F.xxhash64(F.col("doc_id").cast("bigint"), "text")).join(gone, row, "left_anti").dropDuplicates([row]).drop(row)

@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmesa.llm.common import materialise, partitions, release
+from docmesa.llm.common import materialise, partitions, release, unused
 
-#: Bytes of an anchor, at least; bytes hashed at once; bytes kept of an anchor's and of a segment's hash; hash bases.
-GRAM, SLICE, ANCHOR, SEGMENT = 16, 1 << 20, 4, 5
+#: Bytes of an anchor, at least; bytes hashed at once; bytes kept of an anchor's hash beside its bucket's two, and of a segment's
+#: (128 bits in all decide that segments are equal); hash bases.
+GRAM, SLICE, ANCHOR, SEGMENT = 16, 1 << 20, 6, 8
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Suffixes in a batch of the index family.
 BATCH = 1 << 16
@@ -152,9 +153,8 @@ class SuffixLevels:
         own = Level(sorted_keys[head], np.minimum.reduceat(sorted_docs, head) if len(head) else sorted_docs)
         smallest = own.docs.copy()
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level.keys, own.keys), len(level.keys) - 1)
-            same = level.keys[at] == own.keys
-            smallest[same] = np.minimum(smallest[same], level.docs[at[same]])
+            same, at = merge_scan(level.keys, own.keys)[1:]
+            smallest[same] = np.minimum(smallest[same], level.docs[at])
         found = np.zeros(len(keys), dtype=bool)
         found[order] = smallest[run] < sorted_docs
         if len(head):
@@ -164,14 +164,21 @@ class SuffixLevels:
         return found
 
     def merge(self) -> None:
+        """One ascending array of the two youngest: what the older has not goes in at its place."""
         b, a = self.levels.pop(), self.levels.pop()
-        keys, docs = np.concatenate([a.keys, b.keys]), np.concatenate([a.docs, b.docs])
-        order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
-        fresh = np.ones(len(keys), dtype=bool)
-        fresh[1:] = keys[1:] != keys[:-1]
-        head = np.flatnonzero(fresh)
-        self.levels.append(Level(keys[head], np.minimum.reduceat(docs, head)))
+        place, same, at = merge_scan(a.keys, b.keys)
+        docs = a.docs.copy()
+        docs[at] = np.minimum(docs[at], b.docs[same])
+        self.levels.append(Level(np.insert(a.keys, place[~same], b.keys[~same]), np.insert(docs, place[~same], b.docs[~same])))
+
+
+def merge_scan(old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two ascending arrays side by side: where each of the new stands among the old, which of the new are there, and where these are."""
+    place = np.searchsorted(old, new)
+    same = np.zeros(len(new), dtype=bool)
+    inside = place < len(old)
+    same[inside] = old[place[inside]] == new[inside]
+    return place, same, place[same]
 
 
 def suffix_keys(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -507,11 +514,12 @@ def repeat_digests(df: DataFrame, length: int = 50) -> DataFrame:
 def without_repeats(df: DataFrame, length: int = 50) -> DataFrame:
     """df with the texts that remove_repeats() leaves and n_chars to match; other columns, and null texts, are as they were."""
     least = F.lit(-(1 << 63))
+    row, stays = unused(df, "row", "stays")
     text = F.coalesce("text", F.lit("")).cast("binary")
-    keyed = df.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), least), text))
-    kept = remove_repeats(df, length, give="text").select(F.col("row").alias("_row"), F.col("kept").cast("string").alias("_kept")).dropDuplicates(["_row"])
-    joined = keyed.withColumn("text", F.when(F.col("text").isNotNull(), F.lit(""))).join(kept, "_row")
-    changed = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    keyed = df.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), least), text))
+    kept = remove_repeats(df, length, give="text").select(F.col("row").alias(row), F.col("kept").cast("string").alias(stays)).dropDuplicates([row])
+    joined = keyed.withColumn("text", F.when(F.col("text").isNotNull(), F.lit(""))).join(kept, row)
+    changed = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col(stays)))
     if "n_chars" in df.columns:
         changed = changed.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("bigint"))
     return changed.select(*df.columns)

@@ -88,6 +88,33 @@ def test_quality_held_out(spark, docs, odd):
     assert {r.doc_id for r in quality.keep_good(d, trees).collect()} == {g.doc_id for g in got if g.predicted}
 
 
+def test_trees_equal_a_plain_walk():
+    """The vectorised traversal against one row and one node at a time."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(400, 5))
+    trees = quality.fit(x[:300], (x[:300, 0] * x[:300, 1] > 0).astype(float))
+    for row, p in zip(x, trees.predict(x), strict=True):
+        score = trees.base
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            score += trees.value[node]
+        assert abs(p - 1 / (1 + np.exp(-score))) < 1e-12
+
+
+def test_sample_of_one_id(spark):
+    """An id with more rows than the bound gives no more rows than that."""
+    rows = [(1, f"text {k}") for k in range(300)] + [(k, prose(random.Random(k), 9)) for k in range(2, 40)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 40)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    original, quality.fit = quality.fit, lambda x, y: seen.append(len(y)) or original(x, y)
+    try:
+        quality.train(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, sample_rows=25)
+    finally:
+        quality.fit = original
+    assert seen == [25]
+
+
 # --- 2
 
 

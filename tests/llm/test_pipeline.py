@@ -68,3 +68,15 @@ def test_packing_has_every_document(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[4][1].count()
+
+
+def test_clashing_columns(spark):
+    """Columns with names that stages use inside come through as they were."""
+    extra = ["row", "row_", "stays", "_row", "root", "node", "id", "kept", "bucket", "Row__"]
+    rows = [(k, f"text {k // 2} of some words that go on and on for a while {k // 2} " * 3, "en", "s", 1, *[f"{c}{k}" for c in extra]) for k in range(12)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in extra))
+    for name, f in corpus_pipeline.STAGES[1:4]:
+        out = f(spark, d, SF)
+        assert out.columns == d.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in extra), name
