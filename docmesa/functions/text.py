@@ -31,8 +31,20 @@ def quoted(term: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}/&-])", r"\\\1", term)
 
 
+def has_word(text: Column, term: str) -> Column:
+    """The pattern is tried only where the term occurs at all."""
+    return F.contains(text, F.lit(term)) & F.rlike(text, F.lit(rf"\b{quoted(term)}\b"))
+
+
 def word_hits(text: Column, terms: list[str]) -> Column:
-    return sum((F.rlike(text, F.lit(rf"\b{quoted(t)}\b")).cast("int") for t in terms), F.lit(0))
+    return sum((has_word(text, t).cast("int") for t in terms), F.lit(0))
+
+
+def pattern_count(text: Column, pattern: str) -> Column:
+    """regexp_count() of a pattern; if it is made of plain words, only where these occur."""
+    plain = pattern.replace(r"\b", "")
+    count = F.regexp_count(text, F.lit(pattern))
+    return F.when(F.contains(text, F.lit(plain)), count).otherwise(0) if plain.replace(" ", "").isalpha() else count
 
 
 def plain_characters(text: Column) -> Column:
@@ -200,7 +212,7 @@ def is_boilerplate(line: Column) -> Column:
 
 def is_contaminated(text: Column) -> Column:
     t = F.lower(text)
-    return any_of([F.rlike(t, F.lit(rf"\b{quoted(p)}\b")) for p in vocab.CONTAMINATION])
+    return any_of([has_word(t, p) for p in vocab.CONTAMINATION])
 
 
 def preview(text: Column, limit: int) -> Column:

@@ -119,7 +119,7 @@ def _term(term: str) -> str:
 
 
 def term_hits(text: Column, terms: list[str]) -> Column:
-    return sum((F.rlike(text, F.lit(_term(t))).cast("int") for t in dict.fromkeys(terms)), F.lit(0))
+    return sum(((F.contains(text, F.lit(t)) & F.rlike(text, F.lit(_term(t)))).cast("int") for t in dict.fromkeys(terms)), F.lit(0))
 
 
 def concepts(text: Column) -> Column:
@@ -159,7 +159,7 @@ def ontology_score(names: list[str], text: Column) -> Column:
 def rule_hits(text: Column) -> dict[str, Column]:
     """How often each rule's patterns occur, 8 at most."""
     t = F.lower(text)
-    return {name: F.least(F.lit(8), sum((F.regexp_count(t, F.lit(p)) for p in patterns), F.lit(0))) for name, _, patterns in RULES}
+    return {name: F.least(F.lit(8), sum((T.pattern_count(t, p) for p in patterns), F.lit(0))) for name, _, patterns in RULES}
 
 
 def symbolic_score(asked: list[str], terms: list[str], text: Column) -> Column:

@@ -157,7 +157,7 @@ def modality(text: Column, vocabulary: dict[str, list[str]] | None = None) -> Co
     v = vocabulary or {"prohibition": vocab.PROHIBITION_TERMS, "requirement": vocab.REQUIREMENT_TERMS, "recommendation": vocab.RECOMMENDATION_TERMS}
     t = F.lower(text)
     parts = [F.when(T.contains_any(t, v["prohibition"]), F.lit("prohibition"))]
-    parts += [F.when(F.rlike(t, F.lit(rf"\b{T.quoted(w)}\b")), F.lit(w)) for k in ("requirement", "recommendation") for w in v[k]]
+    parts += [F.when(T.has_word(t, w), F.lit(w)) for k in ("requirement", "recommendation") for w in sorted(v[k])]
     return F.array_distinct(F.array_compact(F.array(*parts)))
 
 

@@ -79,15 +79,28 @@ def md5_vector(text: str, size: int = DIMENSIONS) -> dict[int, float]:
     return {k: x / norm for k, x in out.items()} if norm else out
 
 
-def md5_cosine(chunks: DataFrame, key: list[str], question: str) -> DataFrame:
-    """key and vector_score: the cosine of hashed token vectors. Counts are combined per chunk and bucket, so no vector is built; only buckets of chunks move."""
+def md5_cells(text: Column, size: int = DIMENSIONS) -> Column:
+    """Each token of a text as its bucket times 2, plus 1 where its sign is negative; ascending."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda t: t != "")
+    h = F.transform(tokens, lambda t: F.md5(t.cast("binary")))
+    # the tenth hex digit has the parity of the fifth byte
+    return F.array_sort(F.transform(h, lambda x: ((F.conv(F.substring(x, 1, 8), 16, 10).cast("bigint") % size) * 2 + (F.call_function("locate", F.substring(x, 10, 1), F.lit("13579bdf")) > 0).cast("int")).cast("int")))
+
+
+def md5_cosine(text: Column, question: str) -> Column:
+    """The cosine of hashed token vectors of a text and a question, within the row: runs of equal buckets in the sorted tokens are the vector's
+    components, so nothing is shuffled and no vector is built. 0 for texts without tokens."""
     q = md5_vector(question)
-    token = chunks.select(*key, F.explode(F.split(F.lower("text"), " ")).alias("t")).filter("t != ''")
-    bucket, sign = md5_token(F.col("t"))
-    cells = token.select(*key, bucket.alias("k"), sign.alias("s")).groupBy(*key, "k").agg(F.sum("s").cast("double").alias("x"))
-    weight = F.coalesce(*[F.when(F.col("k") == k, F.lit(float(x))) for k, x in q.items()], F.lit(0.0)) if q else F.lit(0.0)
-    sums = cells.groupBy(*key).agg(F.sum(F.col("x") * weight).alias("d"), F.sum(F.col("x") * F.col("x")).alias("n"))
-    return sums.select(*key, F.when(F.col("n") > 0, F.col("d") / F.sqrt("n")).otherwise(0.0).alias("vector_score"))
+    weights = F.array(*[F.lit(float(q.get(k, 0.0))) for k in range(DIMENSIONS)])
+    start = F.struct(F.lit(-1).alias("k"), F.lit(0.0).alias("run"), F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+
+    def add(s: Column, c: Column) -> Column:
+        k, sign = F.shiftright(c, 1), (1 - 2 * (c % 2)).cast("double")
+        same = s["k"] == k
+        return F.struct(k.alias("k"), F.when(same, s["run"] + sign).otherwise(sign).alias("run"), F.when(same, s["n"]).otherwise(s["n"] + s["run"] * s["run"]).alias("n"), (s["d"] + sign * F.get(weights, k)).alias("d"))
+
+    end = lambda s: F.when(s["n"] + s["run"] * s["run"] > 0, s["d"] / F.sqrt(s["n"] + s["run"] * s["run"])).otherwise(0.0)
+    return F.aggregate(md5_cells(text), start, add, end)
 
 
 # --- components of a score; chunk columns: text, section, and where they are known contains_table, table_text, metadata_text, keywords
@@ -205,20 +218,6 @@ def interaction_tokens(text: Column) -> Column:
     return F.filter(F.transform(T.tokens(text, r"[A-Za-z0-9][A-Za-z0-9_.:/&+-]{1,}"), lambda t: F.regexp_replace(clean(t), r"^[ .,:;()\[\]{}]+|[ .,:;()\[\]{}]+$", "")), lambda t: t != "")
 
 
-def late_interaction(chunks: DataFrame, key: list[str], query: list[tuple[str, float]]) -> DataFrame:
-    """key, coverage: for each weighted query token the best of exact (1), stem (.88), substring (.78) and trigram (.7 to .82) among the chunk's first 1200 tokens, as a weighted mean."""
-    tokens = chunks.select(*key, F.explode(F.array_distinct(F.slice(interaction_tokens(F.col("text")), 1, 1200))).alias("c"))
-    scores = []
-    for q, _ in query[:32]:
-        lit = F.lit(q)
-        grams = T.jaccard(T.char_ngrams(F.col("c")), F.array(*[F.lit(g) for g in dict.fromkeys([q[i : i + 3] for i in range(max(1, len(q) - 2))])]))
-        sub = F.lit(len(q) >= 4) & (F.contains("c", lit) | F.contains(lit, F.col("c")))
-        scores.append(F.max(F.when(F.col("c") == q, 1.0).when(T.stem(F.col("c")) == T.stem(lit), 0.88).when(sub, 0.78).when(grams >= 0.72, 0.70 + F.least(F.lit(0.12), (grams - 0.72) * 0.4)).otherwise(0.0)))
-    weight = sum(w for _, w in query[:32])
-    total = sum((s * w for s, (_, w) in zip(scores, query, strict=False)), F.lit(0.0))
-    return tokens.groupBy(*key).agg((total / max(0.001, weight)).alias("coverage"))
-
-
 # --- ranking and expansion; rows: id, document_id, chunk_index, score, section
 
 
@@ -323,45 +322,3 @@ def chunk_graph_scores(mentions: DataFrame, edges: DataFrame, reached: DataFrame
 def merged_nodes(records: DataFrame) -> DataFrame:
     """One row per key of records (key, label, aliases, chunk_id, confidence): all aliases and chunks, longest label, best confidence."""
     return records.groupBy("key").agg(F.max_by("label", F.struct(F.length("label"), "label")).alias("label"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.array_sort(F.collect_set("chunk_id")).alias("chunks"), F.max("confidence").alias("confidence"), F.count("*").alias("mentions"))
-
-
-# --- search
-
-
-def scored(chunks: DataFrame, plan: Plan) -> DataFrame:
-    """Chunks with their components and score."""
-    vectors = md5_cosine(chunks, ["id"], plan.question)
-    surface, section = F.lower("text"), F.lower("section")
-    table = F.contains("text", F.lit(" | "))
-    facts = {"section": F.col("section"), "contains_table": table, "page": F.lit("1"), "filename": F.col("document_id").cast("string")}
-    c = chunks.join(vectors, "id", "left").withColumn("vector_score", F.coalesce("vector_score", F.lit(0.0)))
-    v = F.col("vector_score")
-    c = c.withColumn("keyword_score", keyword_score(plan, surface)).withColumn("phrase_score", phrase_score(plan, surface)).withColumn("contains_table", table)
-    c = c.withColumn("table_score", table_score(plan, surface, table, section, surface, F.lit(1), F.lit(0.5)))
-    base = route_score(plan.weights, v, F.col("keyword_score"), F.col("phrase_score"), rerank_score(plan, surface, section, v, table), F.col("table_score"), metadata_score(plan, section), F.lit(0.0))
-    total = F.round(base + capability_score(plan, surface, facts) + profile_boost(plan, surface, facts), 6)
-    return c.withColumn("score", total).select("id", "document_id", "chunk_index", "section", "text", "vector_score", "keyword_score", "phrase_score", "table_score", "contains_table", "score")
-
-
-def search(chunks: DataFrame, plan: Plan) -> DataFrame:
-    """The best chunks for a question, expanded and diversified as its route says. chunks: id, document_id, chunk_index, text, section.
-
-    One scan scores all chunks and keeps the best plan.limit rows, which the driver holds from then on. Neighbours are read and scored
-    for the documents of the first three only; tables are looked for in a scan of their own where the question is about them.
-    """
-    spark = chunks.sparkSession
-    every = scored(chunks, plan)
-    held = lambda df: spark.createDataFrame(df.collect(), every.schema)  # noqa: E731  plan.limit rows and two tables at most
-    out = held(ranked(every, plan.limit))
-    if plan.kind == "table_numeric" or plan.route == "table":
-        best = every.filter("contains_table and table_score >= 0.2").orderBy(F.desc("table_score"), F.desc("phrase_score"), F.desc("keyword_score"), "id").limit(2)
-        out = held(tables_first(out.unionByName(held(best)).dropDuplicates(["id"]), plan.limit))
-    if "siblings" in plan.flags:
-        out = held(siblings_first(out, plan.limit))
-    if plan.window:
-        near = [r.document_id for r in out.orderBy(F.desc("score"), "id").limit(3).collect()]
-        if near:
-            out = held(with_window(out, scored(chunks.filter(F.col("document_id").isin(near)), plan), plan.window, plan.limit))
-    if "diversify" in plan.flags:
-        out = diversified(out, plan.limit).drop("place")
-    return out

@@ -54,12 +54,6 @@ def visible_to_engineer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.visible_to(E.access(table(spark, sf_dir, "documents").select("doc_id", "text")), ["engineer"]).select("doc_id")
 
 
-@query(r"""SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(t, '\b([A-Z]{1,6}-[0-9]{1,6}[A-Z]?|[A-Z]{2,}[A-Z0-9_-]*(-[A-Z0-9]+)+|[A-Z]{2,}[0-9]{2,}[A-Z0-9_-]*)\b'), lambda s: length(s) >= 5))), ',') AS identifiers FROM (SELECT doc_id AS id, text AS t FROM documents) WHERE regexp_matches(t, '[A-Z]{2,}[0-9-]')""")
-def identifier_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.rlike("text", F.lit("[A-Z]{2,}[0-9-]")))
-    return d.select(F.col("doc_id").alias("id"), F.array_join(F.array_sort(T.identifiers(F.col("text"))), ",").alias("identifiers"))
-
-
 @query(r"""SELECT doc_id AS id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\b([A-Z]{1,6}-[0-9]{1,6}[A-Z]?|[A-Z]{2,}[A-Z0-9_-]*(-[A-Z0-9]+)+|[A-Z]{2,}[0-9]{2,}[A-Z0-9_-]*)\b'), lambda s: length(s) >= 5))), ',') AS identifiers FROM documents""")
 def identifiers_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -71,14 +65,6 @@ def abbreviation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.abbreviations(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
-#: Letters outside ASCII are put out of the way: the two engines differ in whether they are part of a word.
-@query(r"""SELECT doc_id, regexp_extract(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '(?i)\b(?:revision number|revision|rev\.?)\s*[:#]?\s*([A-Z]?[0-9]+[A-Z]?|[A-Z][0-9]?)\b', 1) AS revision, len(list_distinct(regexp_extract_all(text, '\b([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})\b'))) AS dates FROM documents WHERE regexp_matches(text, '[0-9]')""")
-def revision_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.rlike("text", F.lit("[0-9]")))
-    d = E.revisions(d.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x")))
-    return d.select("doc_id", "revision", F.size("revision_dates").cast("bigint").alias("dates"))
-
-
 @query(r"""SELECT doc_id, regexp_extract(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '(?i)\b(?:revision number|revision|rev\.?)\s*[:#]?\s*([A-Z]?[0-9]+[A-Z]?|[A-Z][0-9]?)\b', 1) AS revision, len(list_distinct(regexp_extract_all(text, '\b([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})\b'))) AS dates FROM documents""")
 def revisions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -108,12 +94,6 @@ def numeric_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.canonical_units(E.numeric_constraints(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
-@query(r"""SELECT doc_id, len(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9_]*\s*=\s*[A-Za-z0-9_(][A-Za-z0-9_+*/().\- ]*[A-Za-z0-9_)]'), regexp_extract_all(text, '\b[0-9]+(\.[0-9]+)?\s*:\s*[0-9]+(\.[0-9]+)?\b')), regexp_extract_all(text, '(?i)\b[0-9]+(\.[0-9]+)?\s*(mm|cm|m|barg|bar|psi|kpa|mpa|deg|c|hz|kg|ton|inch)\b')))) AS formulas FROM documents WHERE regexp_matches(text, '[0-9=]')""")
-def formula_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.rlike("text", F.lit("[0-9=]")))
-    return d.select("doc_id", F.size(E.formulas(F.col("text"))).cast("bigint").alias("formulas"))
-
-
 @query(r"""SELECT doc_id, len(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9_]*\s*=\s*[A-Za-z0-9_(][A-Za-z0-9_+*/().\- ]*[A-Za-z0-9_)]'), regexp_extract_all(text, '\b[0-9]+(\.[0-9]+)?\s*:\s*[0-9]+(\.[0-9]+)?\b')), regexp_extract_all(text, '(?i)\b[0-9]+(\.[0-9]+)?\s*(mm|cm|m|barg|bar|psi|kpa|mpa|deg|c|hz|kg|ton|inch)\b')))) AS formulas FROM documents""")
 def formulas_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(E.formulas(F.col("text"))).cast("bigint").alias("formulas"))
@@ -153,14 +133,6 @@ def section_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.micro(s).alias("importance"), E.importance_label(s).alias("label"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) != '') AS lines FROM documents WHERE contains(text, '|')), p AS (SELECT doc_id, list_filter(lines, lambda x: contains(x, '|') AND NOT regexp_matches(x, '^[\\s|:-]+$')) AS p FROM l)
-SELECT doc_id, len(list_filter(list_transform(string_split(p[1], '|'), lambda c: trim(c)), lambda c: c != '')) AS columns, len(p) - 1 AS rows FROM p""")
-def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = E.table_parts(F.col("text"))
-    d = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("|")))
-    return d.select("doc_id", F.size(p["columns"]).cast("bigint").alias("columns"), F.size(p["rows"]).cast("bigint").alias("rows"))
-
-
 @query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) != '') AS lines FROM documents), p AS (SELECT doc_id, list_filter(lines, lambda x: contains(x, '|') AND NOT regexp_matches(x, '^[\\s|:-]+$')) AS p FROM l)
 SELECT doc_id, CASE WHEN len(p) = 0 THEN 0 ELSE len(list_filter(list_transform(string_split(p[1], '|'), lambda c: trim(c)), lambda c: c != '')) END AS columns, greatest(len(p) - 1, 0) AS rows FROM p""")
 def tables_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:

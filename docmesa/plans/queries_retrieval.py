@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from docmesa.functions import text as T
 from docmesa.functions import vocab
 from docmesa.operators import blocks as B
+from docmesa.operators import components as S
 from docmesa.operators import retrieval as V
+from docmesa.operators.search import search
 from docmesa.plans import question as Q
 from docmesa.plans.registry import query, table
 
@@ -47,21 +49,21 @@ _COSINE = f"""q AS (SELECT k, x / sqrt(sum(x * x) OVER ()) AS w FROM ({_CELLS.re
 v AS (SELECT doc_id, coalesce(sum(x * w), 0) / sqrt(sum(x * x)) AS s FROM c LEFT JOIN q USING (k) GROUP BY doc_id)"""
 
 
-@query(f"WITH {_COSINE} SELECT doc_id, CAST(round(s * 1e6) AS BIGINT) AS score FROM v")
+@query(f"WITH {_COSINE} SELECT doc_id, CAST(round(coalesce(s, 0) * 1e6) AS BIGINT) AS score FROM documents LEFT JOIN v USING (doc_id)")
 def hash_embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return V.md5_cosine(d, ["doc_id"], QUESTION).select("doc_id", T.micro(F.col("vector_score")).alias("score"))
+    return d.select("doc_id", T.micro(V.md5_cosine(F.col("text"), QUESTION)).alias("score"))
 
 
 _TERMS = ["license", "version", "required", "apache", "software"]
 _KEY = "least(1.0, (" + " + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in _TERMS) + f" + CAST(contains(lower(text), '{' '.join(_TERMS)}') AS INT)) / {len(_TERMS)}.0)"
 
 
-@query(f"WITH {_COSINE} SELECT doc_id, CAST(round((0.6 * s + 0.4 * {_KEY}) * 1e6) AS BIGINT) AS score FROM v JOIN documents USING (doc_id) ORDER BY 0.6 * s + 0.4 * {_KEY} DESC, doc_id LIMIT 25")
+@query(f"WITH {_COSINE} SELECT doc_id, CAST(round((0.6 * s + 0.4 * {_KEY}) * 1e6) AS BIGINT) AS score FROM (SELECT doc_id, text, coalesce(s, 0) AS s FROM documents LEFT JOIN v USING (doc_id)) ORDER BY 0.6 * s + 0.4 * {_KEY} DESC, doc_id LIMIT 25")
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     plan = Q.Plan(QUESTION, "direct_fact", "hybrid", vocab.ROUTES["hybrid"][0], 0.0, 0, (), (), tuple(_TERMS), (), 25)
-    s = d.join(V.md5_cosine(d, ["doc_id"], QUESTION), "doc_id").withColumn("s", 0.6 * F.col("vector_score") + 0.4 * V.keyword_score(plan, F.lower("text")))
+    s = d.withColumn("s", 0.6 * V.md5_cosine(F.col("text"), QUESTION) + 0.4 * V.keyword_score(plan, F.lower("text")))
     return s.orderBy(F.desc("s"), "doc_id").limit(25).select("doc_id", T.micro(F.col("s")).alias("score"))
 
 
@@ -70,13 +72,13 @@ _EARLY = " + ".join(f"CAST(contains(lower(substr(text, 1, 900)), '{t}') AS INT)"
 _RERANK = f"least(1.0, ({_EARLY}) / {len(_TERMS)}.0 * 0.55 + (s + 1.0) / 2.0 * 0.45)"
 
 
-@query(f"WITH {_COSINE} SELECT doc_id, CAST(round(({_W[0]} * s + {_W[1]} * {_KEY} + {_W[3]} * {_RERANK}) * 1e6) AS BIGINT) AS score FROM v JOIN documents USING (doc_id)")
+@query(f"WITH {_COSINE} SELECT doc_id, CAST(round(({_W[0]} * s + {_W[1]} * {_KEY} + {_W[3]} * {_RERANK}) * 1e6) AS BIGINT) AS score FROM (SELECT doc_id, text, coalesce(s, 0) AS s FROM documents LEFT JOIN v USING (doc_id))")
 def route_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     plan = Q.Plan(QUESTION, "direct_fact", "hybrid", _W, 0.0, 0, (), (), tuple(_TERMS), (), 25)
     surface, zero, v = F.lower("text"), F.lit(0.0), F.col("vector_score")
     s = V.route_score(_W, v, V.keyword_score(plan, surface), zero, V.rerank_score(plan, surface, F.lit(""), v, F.lit(False)), zero, zero, zero)
-    return d.join(V.md5_cosine(d, ["doc_id"], QUESTION), "doc_id").select("doc_id", T.micro(s).alias("score"))
+    return d.withColumn("vector_score", V.md5_cosine(F.col("text"), QUESTION)).select("doc_id", T.micro(s).alias("score"))
 
 
 _LI = [("license", 1.0), ("apache", 1.5), ("version", 1.0)]
@@ -90,11 +92,11 @@ def _best(q: str) -> str:
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_.:/&+-]+') AS l FROM documents), n AS (SELECT doc_id, list_filter(list_transform(l, lambda x: regexp_replace(regexp_replace(replace(lower(x), '&', 'and'), '[^a-z0-9_.:/+-]+', '', 'g'), '^[ .,:;()\\[\\]{{}}]+|[ .,:;()\\[\\]{{}}]+$', '', 'g')), lambda x: x != '') AS l FROM t),
-c AS (SELECT doc_id, unnest(list_distinct(l[1:1200])) AS c FROM n WHERE true)
-SELECT doc_id, CAST(round(({" + ".join(f"{w} * {_best(q)}" for q, w in _LI)}) / {sum(w for _, w in _LI)} * 1e6) AS BIGINT) AS coverage FROM c WHERE regexp_matches(c, '[a-z]') GROUP BY doc_id""")
+c AS (SELECT doc_id, unnest(list_distinct(l)) AS c FROM n)
+SELECT doc_id, CAST(round(coalesce(s, 0) * 1e6) AS BIGINT) AS coverage FROM documents LEFT JOIN (SELECT doc_id, ({" + ".join(f"{w} * {_best(q)}" for q, w in _LI)}) / {sum(w for _, w in _LI)} AS s FROM c GROUP BY doc_id) USING (doc_id)""")
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.rlike("text", F.lit("[A-Za-z]")))
-    return V.late_interaction(d, ["doc_id"], _LI).select("doc_id", T.micro(F.col("coverage")).alias("coverage"))
+    """Question tokens against all distinct tokens of whole documents, without the last rung (which SQL has not)."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.interaction(F.col("text"), _LI, with_fuzzy=False, most_tokens=None).alias("i")).select("doc_id", T.micro(F.col("i.coverage")).alias("coverage"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,9 +264,9 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def flagship_chat_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question through planning, scoring, expansion and ranking over all lines of all documents."""
-    return V.search(line_chunks(spark, sf_dir), Q.plan(spark, QUESTION))
+    return search(line_chunks(spark, sf_dir), Q.plan(spark, QUESTION))
 
 
 @query()
 def flagship_table_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.search(line_chunks(spark, sf_dir), Q.plan(spark, "What is the value in the table row?"))
+    return search(line_chunks(spark, sf_dir), Q.plan(spark, "What is the value in the table row?"))

@@ -34,13 +34,13 @@ def dedupe_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, row_number() OVER (PARTITION BY source, exact_signature ORDER BY doc_id) = 1 AS kept FROM ({SIGNED})")
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = D.fingerprints(_documents(spark, sf_dir).select("doc_id", "source", "text"), composed=False)
-    return d.select("doc_id", D.first_of("exact_signature", ["source"], "doc_id").alias("kept"))
+    return D.with_first(d.select("doc_id", "source", "exact_signature"), "exact_signature", ["source"], "doc_id").select("doc_id", "kept")
 
 
 @query(f"SELECT source, count(*) AS documents, count(DISTINCT p) AS prefixes, count(*) - count(DISTINCT p) AS removed FROM (SELECT source, substr(sha1(array_to_string(words[1:100], ' ')), 1, 20) AS p FROM ({SIGNED})) GROUP BY source")
 def prefix_dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = D.fingerprints(_documents(spark, sf_dir).select("doc_id", "source", "text"), composed=False).select("doc_id", "source", "prefix_signature")
-    kept = d.withColumn("kept", D.first_of("prefix_signature", ["source"], "doc_id"))
+    kept = D.with_first(d, "prefix_signature", ["source"], "doc_id")
     return kept.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("kept").alias("prefixes"), F.count_if(~F.col("kept")).alias("removed"))
 
 
@@ -48,9 +48,10 @@ _PAIRS = f"""
 WITH d AS (SELECT doc_id, list_distinct(words) AS w, len(words) AS n,
     CASE WHEN len(words) < 5 THEN list_distinct(words) ELSE list_distinct(list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1:i + 5], ' '))) END AS s,
     list_sort(list_distinct(regexp_extract_all(lower(text), '\\b[0-9]+(\\.[0-9]+)?(\\s*[:/]\\s*[0-9]+(\\.[0-9]+)?)?\\b'))) AS k FROM ({SIGNED}) WHERE len(words) >= 12),
-e AS (SELECT doc_id, unnest(s) AS x FROM d), f AS (SELECT doc_id, unnest(w) AS x FROM d), r AS (SELECT x FROM f GROUP BY x HAVING count(*) BETWEEN 2 AND 8),
-h AS (SELECT x FROM e GROUP BY x HAVING count(*) BETWEEN 2 AND 100), c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (x) JOIN h USING (x) WHERE a.doc_id < b.doc_id
-    UNION SELECT DISTINCT a.doc_id, b.doc_id FROM f a JOIN f b USING (x) JOIN r USING (x) WHERE a.doc_id < b.doc_id),
+f AS (SELECT doc_id, unnest(w) AS x, len(w) AS n FROM d), e AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM d),
+g AS (SELECT doc_id, x FROM f JOIN (SELECT x, count(*) AS df FROM f GROUP BY x) USING (x) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, x) <= n - ceil(0.9 * n) + 1),
+h AS (SELECT doc_id, x FROM e JOIN (SELECT x, count(*) AS df FROM e GROUP BY x) USING (x) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, x) <= n - ceil(0.72 * n) + 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b USING (x) WHERE a.doc_id < b.doc_id UNION SELECT a.doc_id, b.doc_id FROM h a JOIN h b USING (x) WHERE a.doc_id < b.doc_id),
 p AS (SELECT c.a, c.b, len(list_intersect(l.w, r.w)) AS iw, len(l.w) AS lw, len(r.w) AS rw, len(list_intersect(l.s, r.s)) AS js, len(l.s) AS ls, len(r.s) AS rs FROM c JOIN d l ON l.doc_id = c.a JOIN d r ON r.doc_id = c.b WHERE l.k = r.k),
 q AS (SELECT a, b, iw / (lw + rw - iw) AS jaccard, iw / least(lw, rw) AS containment, js / (ls + rs - js) AS shingle FROM p)
 SELECT a, b, CASE WHEN jaccard >= 0.9 THEN 'near_duplicate_jaccard' WHEN containment >= 0.92 AND shingle >= 0.72 THEN 'near_duplicate_containment' ELSE 'near_duplicate_shingle' END AS reason,
@@ -122,9 +123,9 @@ def keyword_weights_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("r", r).filter("r <= 30").select("doc_id", "term", "n", T.micro(F.col("w")).alias("weight"))
 
 
-@query(f"SELECT doc_id, t AS term, n FROM (SELECT doc_id, t, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, t) AS r FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(lower(substr(text, 1, 6000)), '[a-z0-9_.:/&+-]+'), lambda x: x)) AS t FROM documents) WHERE length(t) >= 2 GROUP BY doc_id, t) WHERE r <= {vocab.SPARSE_TERMS}")
+@query(f"SELECT doc_id, t AS term, n FROM (SELECT doc_id, t, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, t) AS r FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(lower(text), '[a-z0-9_.:/&+-]+'), lambda x: x)) AS t FROM documents) WHERE length(t) >= 2 GROUP BY doc_id, t) WHERE r <= {vocab.SPARSE_TERMS}")
 def sparse_terms_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.substring("text", 1, 6000)), F.lit("[a-z0-9_.:/&+-]+"), F.lit(0))).alias("term")).filter("length(term) >= 2")
+    d = _documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_.:/&+-]+"), F.lit(0))).alias("term")).filter("length(term) >= 2")
     c = d.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     return c.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term"))).filter(F.col("r") <= vocab.SPARSE_TERMS).drop("r")
 
@@ -134,14 +135,16 @@ _ASKED = ["licensed", "version", "license", "apache"]
 
 @query(f"WITH k AS (SELECT DISTINCT doc_id, t FROM ({_KEPT})), a AS (SELECT doc_id, t FROM k WHERE t IN ({', '.join(repr(t) for t in _ASKED)})) SELECT term, related, n FROM (SELECT a.t AS term, k.t AS related, count(*) AS n, row_number() OVER (PARTITION BY a.t ORDER BY count(*) DESC, k.t) AS r FROM a JOIN k USING (doc_id) WHERE k.t NOT IN ({', '.join(repr(t) for t in _ASKED)}) GROUP BY a.t, k.t) WHERE r <= 8")
 def cooccurrence_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccurring(_keywords(spark, sf_dir), _ASKED)
+    return cooccurring(_documents(spark, sf_dir), _ASKED)
 
 
-def cooccurring(terms: DataFrame, asked: list[str], most: int = 8) -> DataFrame:
-    """For each asked term the terms (doc_id, t) that come most often in the same documents."""
-    k = terms.distinct()
-    a = k.filter(F.col("t").isin(asked)).select("doc_id", F.col("t").alias("term"))
-    c = k.filter(~F.col("t").isin(asked)).join(a, "doc_id").groupBy("term", F.col("t").alias("related")).agg(F.count("*").alias("n"))
+def cooccurring(documents: DataFrame, asked: list[str], most: int = 8) -> DataFrame:
+    """For each asked term the keywords that come most often in the same documents. Documents without an asked term are left out before their words are told apart,
+    and pairs are counted in each task before they are shuffled."""
+    near = documents.filter(T.contains_any(F.lower("text"), asked)).select(F.array_distinct(F.filter(F.transform(T.tokens(F.col("text")), T.keyword_token), T.keyword_keep)).alias("w"))
+    terms = F.array(*[F.lit(t) for t in asked])
+    pairs = near.select(F.explode(F.array_intersect("w", terms)).alias("term"), F.array_except("w", terms).alias("w")).select("term", F.explode("w").alias("related"))
+    c = pairs.groupBy("term", "related").agg(F.count("*").alias("n"))
     return c.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("n"), "related"))).filter(F.col("r") <= most).drop("r")
 
 
@@ -169,10 +172,8 @@ def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.lines_as_blocks(_documents(spark, sf_dir)).withColumn("heading", B.is_heading(F.col("text"))).withColumn("level", B.heading_level(F.col("text")))
-    b = B.heading_stack(b).withColumn("section", F.array_join("section_path", " > "))
-    c = C.with_ids(C.with_overlap(C.semantic_chunks(b)))
-    return C.diagnostics(C.links(c)).select("doc_id", "chunk_index", "chunk_id", "text", "section", "boundary", "overlap", "chars", "size_class", "chunk_score", "previous_chunk_id", "next_chunk_id", "section_position")
+    c = C.with_ids(C.with_overlap(C.document_chunks(_documents(spark, sf_dir))))
+    return C.diagnostics(c).select("doc_id", "chunk_index", "chunk_id", "text", "section", "boundary", "overlap", "chars", "size_class", "chunk_score", "previous_chunk_id", "next_chunk_id", "section_position")
 
 
 @query()
@@ -220,12 +221,6 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.merge_wrapped(B.lines_as_blocks(_documents(spark, sf_dir)))
 
 
-@query("SELECT doc_id, chunk_index, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS preview FROM (SELECT doc_id, 0 AS chunk_index, text FROM documents WHERE length(text) <= 80)")
-def short_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _documents(spark, sf_dir).filter(F.length("text") <= 80)
-    return d.select("doc_id", F.lit(0).alias("chunk_index"), T.preview(F.col("text"), 88).alias("preview"))
-
-
 @query("SELECT doc_id, CASE WHEN length(p) <= 88 THEN p ELSE rtrim(p[1:85]) || '...' END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS p FROM documents)")
 def document_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", T.preview(F.col("text"), 88).alias("preview"))

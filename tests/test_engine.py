@@ -2,6 +2,8 @@
 
 import random
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,67 @@ def test_keep_first(spark):
     assert got[1] == (True, "") and got[2] == (False, "exact_signature") and got[3][1] == "near_duplicate_jaccard" and got[4] == (True, "") and not got[6][0] and got[7] == (True, "")
 
 
+def test_keep_first_equals_a_walk(spark):
+    """Rounds over the table against one item after the other, with copies, chains of near copies and groups."""
+    import random
+
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    made: list[str] = []
+    for k in range(160):
+        t = r.choice(made).split() if made and r.random() < 0.7 else r.sample(words, r.choice((8, 14, 20, 30)))
+        for _ in range(r.choice((0, 0, 1, 2))):
+            t[r.randrange(len(t))] = r.choice(words)
+        made.append(" ".join(t))
+    rows = [(k, k % 3, t) for k, t in enumerate(made)]
+    got = {x.id: (x.kept, x.reason) for x in D.keep_first(spark.createDataFrame(rows, "id bigint, doc bigint, text string"), "id", "doc").collect()}
+    sets = [(set(t.split()), {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} or {(w,) for w in t.split()}, len(t.split())) for t in made]
+
+    def near(a, b):
+        (v, s, m), (w, u, n) = sets[a], sets[b]
+        if min(m, n) < vocab.DEDUPE_MIN_WORDS or re.findall(r"\b\d+\b", made[a]) != re.findall(r"\b\d+\b", made[b]):
+            return ""
+        j, c, x = len(v & w) / len(v | w), len(v & w) / min(len(v), len(w)), len(s & u) / len(s | u)
+        return "near_duplicate_jaccard" if j >= 0.9 else "near_duplicate_containment" if c >= 0.92 and x >= 0.72 else "near_duplicate_shingle" if x >= 0.86 else ""
+
+    kept: dict[int, list[int]] = {0: [], 1: [], 2: []}
+    for k, g, t in rows:
+        why = next(("exact_signature" for a in kept[g] if made[a] == t), "") or next((near(a, k) for a in kept[g] if near(a, k)), "")
+        assert got[k] == (not why, why), k
+        if not why:
+            kept[g].append(k)
+    assert len({w for _, w in got.values()}) >= 4
+
+
+def test_protection(spark):
+    """Tables with other columns, other numbers, and other sections are kept apart; a section does not part what has the same numbers."""
+    base = "the quick brown fox jumps over the lazy dog near a river bank today with friends"
+    rows = [(1, base, "a", False, []), (2, base + " x", "b", False, []), (3, base + " x", "a", False, []), (4, base + " 7", "a", False, []), (5, base + " 7 x", "b", False, []), (6, base + " y z", "a", True, ["p", "q"]), (7, base + " y z", "a", True, ["p", "r"])]
+    df = spark.createDataFrame(rows, "id bigint, text string, section string, contains_table boolean, table_columns array<string>")
+    prints = D.fingerprints(df)
+    assert {(r.a, r.b) for r in D.near_pairs(prints, "id").collect()} == {(1, 3), (4, 5)}
+    assert [r.p for r in prints.orderBy("id").select(D.is_protected(F.col("contains_table"), F.col("numbers")).alias("p")).collect()] == [False, False, False, True, True, True, True]
+
+
+def test_chunks_in_place_equal_chunks_of_blocks(spark):
+    """One pass over texts against blocks as rows, windows and groups."""
+    texts = ["1 Scope\nbody of it, which goes on for a while and then ends here today.\n1.1 Part\nmore text\n2 Next\n" + "long sentence number one. " * 120, "no heading here", "", None, "A. Letters\n\nx\nAPPENDIX B: Lists\nitem one\nitem two of the list that is longer than the others by far.\n3.1.2 Deep\nend"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    a = C.diagnostics(C.with_ids(C.with_overlap(C.document_chunks(d))))
+    b = B.lines_as_blocks(d).withColumn("heading", B.is_heading(F.col("text"))).withColumn("level", B.heading_level(F.col("text")))
+    b = B.heading_stack(b).withColumn("section", F.array_join("section_path", " > "))
+    b = C.diagnostics(C.links(C.with_ids(C.with_overlap(C.semantic_chunks(b)))))
+    columns = ["doc_id", "chunk_index", "chunk_id", "text", "section", "boundary", "overlap", "part", "parts", "chunk_score", "previous_chunk_id", "next_chunk_id", "section_position", "section_chunks"]
+    assert sorted(map(tuple, a.select(columns).collect()), key=repr) == sorted(map(tuple, b.select(columns).collect()), key=repr) and a.count() > 8
+
+
+def test_section_ids(spark):
+    c = spark.createDataFrame([(1, k, f"c{k:02}", "s", 1, 1) for k in range(20)], "doc_id bigint, chunk_index bigint, chunk_id string, section string, page_start bigint, page_end bigint")
+    got = {r.chunk_id: r.same_section_ids for r in C.links(c).collect()}
+    first = [f"c{k:02}" for k in range(13)]
+    assert all(ids == [x for x in first if x != k][:12] for k, ids in got.items())
+
+
 @pytest.mark.parametrize("value,unit,want", [("25", "mm", ("mm", "length", "m", 0.025)), ("3", "barg", ("bar", "pressure", "pa", 300000.0)), ("1:100", "", ("", "ratio", "ratio", 0.01)), ("1/0", "", ("", "ratio", "ratio", None)), ("60", "rpm", ("rpm", "frequency", "hz", 1.0)), ("4", "widgets", ("widgets", "other", "widgets", 4.0)), ("7", "", ("", "number", "", 7.0))])
 def test_units(spark, value, unit, want):
     r = E.canonical_units(spark.createDataFrame([(value, unit)], "value string, unit string")).first()
@@ -172,8 +235,12 @@ def test_vectors(spark):
     v = V.hash_vector("The valve, the pipe.")
     assert abs(sum(x * x for x in v) - 1) < 1e-12 and V.hash_vector("") == [0.0] * V.DIMENSIONS
     texts = spark.createDataFrame([(1, "apache license"), (2, "other words"), (3, "apache license version")], "id bigint, text string")
-    s = {r.id: r.vector_score for r in V.md5_cosine(texts, ["id"], "apache license").collect()}
+    s = {r.id: r.s for r in texts.select("id", V.md5_cosine(F.col("text"), "apache license").alias("s")).collect()}
     assert abs(s[1] - 1) < 1e-9 and s[3] > s[2]
+    for t in ("a b a b c", "", None, " ", "the " * 9 + "valve"):
+        v, q = V.md5_vector(t or ""), V.md5_vector("a valve c")
+        got = spark.createDataFrame([(t,)], "t string").select(V.md5_cosine(F.col("t"), "a valve c").alias("s")).first().s
+        assert abs(got - sum(x * q.get(k, 0.0) for k, x in v.items())) < 1e-9
 
 
 def test_expansion(spark):
