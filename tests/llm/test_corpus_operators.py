@@ -672,6 +672,85 @@ def test_lists_lose_no_link():
             assert jaccard_join.apart(jaccard_join.fold(p, size), jaccard_join.fold(q, size)) <= len(np.setxor1d(a, b))
 
 
+def members(sets, hub, t, scheme, roots=None, known=True):
+    """A list of sets as its members are compared: overlaps with the hub are exact where `known`, else bounds."""
+    spot = [int(jaccard_join.placed(s, scheme)[1][0]) for s in sets]
+    both = np.array([len(np.intersect1d(s, hub)) for s in sets])
+    n = np.array([len(s) for s in sets])
+    return jaccard_join.Members(n, np.array(spot), np.array(roots if roots is not None else range(len(sets))), [jaccard_join.bitmap(s).tobytes() for s in sets], both if known else n, both if known else np.zeros(len(sets), dtype=int), len(hub))
+
+
+def test_derived_answers_and_skipped_blocks(monkeypatch):
+    """With and without what is known of the first set, no link is lost; what is derived is right and some blocks and answers are never compared."""
+    from collections import Counter
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    r = np.random.default_rng(21)
+    t = jaccard_join.Threshold(8, 10)
+    counts = Counter()
+    for _ in range(12):
+        hub = np.unique(r.integers(0, 1 << 63, 200).astype(np.uint64))
+        sets = [hub]
+        for k in range(60):
+            keep = r.choice(hub, int(len(hub) * r.choice((0.95, 0.85, 0.5, 0.2))), replace=False)
+            sets.append(np.unique(np.concatenate([keep, r.integers(0, 1 << 63, int(r.choice((2, 30, 150)))).astype(np.uint64)])))
+        scheme = jaccard_join.Scheme(3, 5, 0)
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if t.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+        for known in (True, False):
+            m = members(sets, hub, t, scheme, known=known)._replace(position=np.zeros(len(sets), dtype=int))
+            got = {(max(i, j), min(i, j)): sure for i, j, sure in jaccard_join.compare(m, m, True, t, counts)}
+            assert want <= set(got) and all(pair in want for pair, sure in got.items() if sure)
+            half = len(sets) // 2
+            a, b = m.part(0, half), m.part(half, len(sets))
+            across = {(half + j, i) for i, j, _ in jaccard_join.compare(a, b, False, t, counts)}
+            assert {(i, j) for i, j in want if j < half <= i} <= across
+    assert counts["answers derived"] > 1000 and counts["links derived"] > 100 and counts["blocks of other sizes"] > 50
+
+
+def test_positions_rule_blocks_out(monkeypatch):
+    """Sets that share a part, but stand at its far ends: their blocks are skipped; positions are the numbers of shingles before a part."""
+    from collections import Counter
+
+    r = np.random.default_rng(22)
+    t, scheme = jaccard_join.Threshold(9, 10), jaccard_join.Scheme(2, 7, 0)
+    tokens = np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64))
+    sig, before = jaccard_join.placed(tokens, scheme)
+    assert before[0] == 0 and (np.diff(before) > 0).all() and len(sig) == 7 and jaccard_join.signatures(tokens, scheme).tolist() == sig.tolist()
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    n = np.full(16, 100)
+    position = np.array([0] * 8 + [60] * 8)
+    m = jaccard_join.Members(n, position, np.arange(16), [jaccard_join.bitmap(tokens[:100]).tobytes()] * 16, n, np.zeros(16, dtype=int), 100)
+    counts = Counter()
+    got = {(max(i, j), min(i, j)) for i, j, _ in jaccard_join.compare(m, m, True, t, counts)}
+    assert got == {(i, j) for i in range(16) for j in range(i) if (i < 8) == (j < 8)} and counts["blocks at other positions"] == 4
+
+
+def test_long_lists_are_dealt(spark, monkeypatch):
+    """A group of near copies that are not all linked, in lists longer than a deal."""
+    monkeypatch.setattr(jaccard_join, "DEAL", 8)
+    r = random.Random(31)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(90):
+        t = words[:]
+        for _ in range(r.choice((1, 3, 6))):
+            t[r.randrange(len(t))] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(t)))
+    got = as_dict(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 9, 10))
+    sets, parent = {i: sets_by_hand(t, 3) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {i: got[i].component_id for i in sets} == {i: find(i) for i in sets} and 1 < len({find(i) for i in sets}) < 90
+
+
 def test_jaccard_odd_rows(odd):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd, 3, 9, 10).collect())
     assert got == [(-1, 7, 1), (1, 7, 1), (1, 7, 1), (2, 1, 2), (2, 7, 1), (3, 0, 3)]
