@@ -82,9 +82,11 @@ def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.withColumn("a", A.terms(F.col("clean"))).withColumn("q", A.terms(F.col("question")))
     a, q, text, ask = F.col("a"), F.col("q"), F.col("clean"), F.col("question")
     g = A.grounding(a, q)
-    checks = {"grounding": g, "hallucination": A.hallucination_control(a, q), "specificity": A.specificity(text, ask), "context": F.least(F.lit(1.0), F.size(F.array_intersect(a, q)) / F.greatest(F.lit(1), F.size(q)) * 0.55 + 0.45), "retrieval": A.retrieval_quality(F.lit(0.5), F.lit(0.5), F.lit(1.0)), "type_fit": A.type_fit(F.col("kind"), ask, text), "over_generation": A.over_generation_control(text, A.n_words(ask), g), "style": A.style(ask, text)}
-    score = A.overall(checks)
-    return p.select("conv_id", "turn", "kind", *[T.micro(v).alias(k) for k, v in checks.items()], T.micro(score).alias("overall"), A.grade(score).alias("grade"))
+    checks = {"grounding": g, "hallucination": A.hallucination_control(a, q), "specificity": A.specificity(text, ask), "context": F.least(F.lit(1.0), F.size(F.array_intersect(a, q)) / F.greatest(F.lit(1), F.size(q)) * 0.55 + 0.45), "retrieval": A.retrieval_quality(F.lit(0.5), F.lit(0.5), F.lit(1.0)), "type_fit": A.type_fit(F.col("kind"), ask, text), "over_generation": A.over_generation_control(text, A.n_words(ask), F.col("grounding")), "style": A.style(ask, text)}
+    # each check is a column before the grade uses it, so none is computed twice
+    p = p.withColumn("grounding", g).withColumns({k: v for k, v in checks.items() if k != "grounding"})
+    p = p.withColumn("overall", A.overall({k: F.col(k) for k in checks}))
+    return p.select("conv_id", "turn", "kind", *[T.micro(F.col(k)).alias(k) for k in checks], T.micro(F.col("overall")).alias("overall"), A.grade(F.col("overall")).alias("grade"))
 
 
 @query()

@@ -64,15 +64,35 @@ def wording_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[h[k].cast("bigint").alias(k) for k in ("condition", "permission", "obligation", "numeric_constraint")])
 
 
-@query()
+def _rule(patterns: list[str]) -> str:
+    return f"least(8, {' + '.join(f'len(regexp_extract_all(t, {_lit(p)}))' for p in patterns)})"
+
+
+_RULED = " + ".join(f"least(0.045, {_rule(patterns)} * {0.014 * weight * (1.35 if name == 'condition' else 1.0)!r})" for name, weight, patterns in K.RULES)
+
+
+@query(f"SELECT doc_id, CAST(round(round(least(0.18, {_RULED} + least(0.04, (CAST(contains(t, 'license') AS INT) + CAST(contains(t, 'version') AS INT)) * 0.006)), 5) * 1e6) AS BIGINT) AS score FROM (SELECT doc_id, {_ASCII} AS t FROM documents)")
 def symbolic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", T.micro(K.symbolic_score(["condition"], ["license", "version"], F.col("text"))).alias("score"))
+    d = _documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
+    return d.select("doc_id", T.micro(K.symbolic_score(["condition"], ["license", "version"], F.col("text"))).alias("score"))
 
 
-@query()
+def _found(terms: list[str]) -> str:
+    """How many terms a text has: phrases between other characters than letters and digits, words with a plural s."""
+    quote = lambda t: t.replace(".", "\\.")
+    one = lambda t: rf"(^|[^a-z0-9]){quote(t)}([^a-z0-9]|$)" if set(t) & set(" -/") else rf"\b{quote(t)}s?\b"
+    return "(" + " + ".join(f"CAST(regexp_matches(t, {_lit(one(t))}) AS INT)" for t in dict.fromkeys(terms)) + ")"
+
+
+_QUESTION = "Which relief valve needs a code?"
+_NAMED = K.concepts_of(_QUESTION)
+_OWN = " + ".join(f"least(0.06, {_found([n, *s])} * 0.022 + {_found(b)} * 0.012 + {_found(r)} * 0.008)" for n, s, b, r in K.ONTOLOGY if n in _NAMED)
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {_found([n, *s])} > 0 THEN {_lit(n)} END' for n, s, _, _ in K.ONTOLOGY)}], lambda x: x IS NOT NULL), ',') AS concepts, CAST(round(round(least(0.18, {_OWN} + least(0.05, {_found(K.expansion_terms(_NAMED))} * 0.006)), 5) * 1e6) AS BIGINT) AS score FROM (SELECT doc_id, {_ASCII} AS t FROM documents)")
 def ontology_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = K.concepts_of("Which relief valve needs a code?")
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(K.concepts(F.col("text")), ",").alias("concepts"), T.micro(K.ontology_score(names, F.col("text"))).alias("score"))
+    d = _documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
+    return d.select("doc_id", F.array_join(K.concepts(F.col("text")), ",").alias("concepts"), T.micro(K.ontology_score(_NAMED, F.col("text"))).alias("score"))
 
 
 @query("SELECT doc_id, CAST(round(round(least(0.20, CASE WHEN doc_id IN (1, 2, 3) THEN 0.14 ELSE 0.0 END + CASE WHEN source = 'src1' THEN 0.035 ELSE 0.0 END + least(0.05, (CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'version') AS INT)) * 0.006)), 5) * 1e6) AS BIGINT) AS score FROM documents")

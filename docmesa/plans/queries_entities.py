@@ -12,7 +12,6 @@ from docmesa.operators import chat as H
 from docmesa.operators import classify as K
 from docmesa.operators import entities as E
 from docmesa.operators import retrieval as V
-from docmesa.plans import question as Q
 from docmesa.plans.queries_retrieval import line_chunks
 from docmesa.plans.registry import query, table
 
@@ -73,19 +72,13 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.translation(language(_documents(spark, sf_dir))).select("doc_id", "language_code", "translation_status", "translation_confidence")
 
 
-@query()
-def question_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return Q.hops(q, "id")
-
-
 @query("SELECT doc_id, CAST(round(round(least(0.18, (CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'version') AS INT)) / 2.0 * 0.045 * 1.3 + CASE WHEN contains(text, ' | ') THEN 0.025 * 1.3 ELSE 0.0 END + CASE WHEN contains(text, ' | ') OR contains(lower(text), 'license') OR contains(lower(text), 'version') THEN 0.018 ELSE 0.0 END), 5) * 1e6) AS BIGINT) AS score FROM documents")
 def decomposition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = K.decomposition_score([("table_numeric", ["license", "version"], 1.3)], F.col("text"), {"table": F.contains("text", F.lit(" | "))})
     return _documents(spark, sf_dir).select("doc_id", T.micro(s).alias("score"))
 
 
-@query()
+@query("SELECT doc_id, CAST(round(round(least(0.22, a * 0.065 + CASE WHEN contains(t, 'semantic context') THEN 0.025 ELSE 0.0 END + (b / 2.0 * 0.065 + CASE WHEN contains(t, 'connected context') THEN 0.025 ELSE 0.0 END) * 1.06 + 0.008 + least(0.06, (CASE WHEN a >= 0.34 OR contains(t, 'semantic context') THEN 1 ELSE 0 END + CASE WHEN b / 2.0 >= 0.34 OR contains(t, 'connected context') THEN 1 ELSE 0 END) * 0.018)), 5) * 1e6) AS BIGINT) AS score FROM (SELECT doc_id, lower(text) AS t, CAST(contains(lower(text), 'license') AS INT) AS a, CAST(contains(lower(text), 'version') AS INT) + CAST(contains(lower(text), 'apache') AS INT) AS b FROM documents)")
 def hop_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = K.multi_hop_score([("semantic_evidence", "semantic_context", ["license"], 1.0), ("relationship_evidence", "connected_context", ["version", "apache"], 1.06)], F.col("text"), {}, F.lit(1))
     return _documents(spark, sf_dir).select("doc_id", T.micro(s).alias("score"))

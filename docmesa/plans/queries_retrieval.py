@@ -197,7 +197,17 @@ def subquestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark, sf_dir).select("conv_id", "turn", F.array_join(Q.question_parts(F.col("text")), "|").alias("parts"))
 
 
-@query()
+def _expanded_sql() -> str:
+    flag = lambda f: "route IN (" + ", ".join(f"'{r}'" for r, (_, _, _, flags, _) in vocab.ROUTES.items() if f in flags.split()) + ", '')"
+    uses = lambda *names: "route IN (" + ", ".join(f"'{r}'" for r, (*_, used) in vocab.ROUTES.items() if set(names) & set(used.split())) + ", '')"
+    say = lambda test, prefix: f"CASE WHEN {test} THEN ['{prefix}' || q] ELSE [] END"
+    rewrites = "CASE WHEN " + flag("multi_query") + " THEN [regexp_replace(q, '(?i)\\b(what|where|which|how|tell me|show me)\\b', 'requirements', 'g'), 'section topic requirements ' || q, 'exact terms identifiers ' || q] ELSE [] END"
+    parts = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(?i)\b(?:and|or|with|between|versus|vs\.?|compared to)\b|[;?]', chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: length(p) > 8)"
+    every = " || ".join(["[text]", rewrites, say(flag("graph"), "related systems entities dependencies "), say(flag("parent_child"), "parent section context surrounding requirements "), f"CASE WHEN {uses('query_decomposition', 'multi_hop')} THEN list_slice(list_filter({parts}, lambda v, i: list_position({parts}, v) = i), 1, 8) ELSE [] END", say(uses("self_query"), "metadata section revision document identifier "), say(uses("time_aware"), "revision version date latest changed "), say(uses("citation"), "exact evidence page section source ")])
+    return f"SELECT conv_id, turn, route, unnest(list_slice(list_filter(l, lambda v, i: list_position(l, v) = i), 1, 5)) AS query FROM (SELECT conv_id, turn, route, list_filter({every}, lambda x: trim(x) != '') AS l FROM (SELECT *, trim(text) AS q, {_route_case()} AS route FROM (SELECT *, {_case()} AS kind FROM conversations WHERE role = 'user')))"
+
+
+@query(_expanded_sql())
 def expanded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _questions(spark, sf_dir).withColumn("route", Q.question_route(F.col("text"), Q.question_type(F.col("text"))))
     return q.select("conv_id", "turn", "route", F.explode(Q.expanded_queries(F.col("text"), F.col("route"))).alias("query"))
@@ -231,7 +241,17 @@ def bfs_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.expanded(V.both_ways(_edges(spark, sf_dir)), seeds, 2, 24)
 
 
-@query()
+_WEIGHED = """WITH e0 AS (SELECT n_name AS l, r_name AS r, 'located in' AS rel, n_nationkey AS c FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_name, n_name, 'connected to', 100 + s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+e1 AS (SELECT l, r, rel, c FROM e0 UNION SELECT r, l, rel, c FROM e0), w AS (SELECT *, CASE WHEN rel = 'connected to' THEN 1.25 ELSE 1.0 END AS x FROM e1),
+e AS (SELECT DISTINCT l, r FROM (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY x DESC, r) AS n FROM (SELECT DISTINCT l, r, x FROM w)) WHERE n <= 32),
+s0 AS (SELECT min(n_name) AS node FROM nation), s1 AS (SELECT DISTINCT r AS node FROM e JOIN s0 ON l = node WHERE r NOT IN (SELECT node FROM s0)),
+s2 AS (SELECT DISTINCT r AS node FROM e JOIN s1 ON l = node WHERE r NOT IN (SELECT node FROM s0) AND r NOT IN (SELECT node FROM s1)),
+s3 AS (SELECT DISTINCT r AS node FROM e JOIN s2 ON l = node WHERE r NOT IN (SELECT node FROM s0) AND r NOT IN (SELECT node FROM s1) AND r NOT IN (SELECT node FROM s2)),
+g AS (SELECT node, 0 AS d FROM s0 UNION ALL SELECT node, 1 FROM s1 UNION ALL SELECT node, 2 FROM s2 UNION ALL SELECT node, 3 FROM s3),
+p AS (SELECT c, CASE WHEN d = 0 THEN 0.06 ELSE 0.018 END AS s FROM (SELECT DISTINCT c, l FROM e1) JOIN g ON l = node UNION ALL SELECT c, 0.012 * x FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY r, c, rel) AS n FROM w) JOIN g ON l = node WHERE n <= 24)"""
+
+
+@query(f"{_WEIGHED} SELECT CAST(c AS BIGINT) AS chunk_id, CAST(round(least(0.16, sum(s)) * 1e6) AS BIGINT) AS score FROM p GROUP BY c")
 def graph_chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.both_ways(_edges(spark, sf_dir))
     reached = V.expanded(e, table(spark, sf_dir, "nation").agg(F.min("n_name").alias("node")), 3, 32, weighted=True)

@@ -176,7 +176,15 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.diagnostics(c).select("doc_id", "chunk_index", "chunk_id", "text", "section", "boundary", "overlap", "chars", "size_class", "chunk_score", "previous_chunk_id", "next_chunk_id", "section_position")
 
 
-@query()
+_FIXED = r"""WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+w AS (SELECT doc_id, t, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS begin_, CAST(0 AS BIGINT) AS stop, '' AS piece FROM t WHERE t != ''
+UNION ALL SELECT doc_id, t, n + 1, a, e, substr(t, a + 1, e - a) FROM (SELECT doc_id, t, n, a, CASE WHEN a + 1200 < length(t) AND k > a + 660 THEN k + 1 ELSE least(length(t), a + 1200) END AS e FROM
+(SELECT doc_id, t, n, a, a + 1200 - strpos(reverse(substr(t, a + 1, 1200)), ' .') - 1 + CASE WHEN strpos(reverse(substr(t, a + 1, 1200)), ' .') = 0 THEN -100000 ELSE 0 END AS k FROM
+(SELECT doc_id, t, n, CASE WHEN n = 0 THEN 0 ELSE greatest(stop - 180, begin_ + 1) END AS a FROM w WHERE n = 0 OR stop < length(t)))))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS chunk_index, trim(piece) AS text FROM w WHERE n > 0 AND trim(piece) != ''"""
+
+
+@query(_FIXED)
 def fixed_size_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fixed_chunks(_documents(spark, sf_dir))
 

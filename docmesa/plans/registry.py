@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from docmesa.plans import queries_answers, queries_catalog, queries_components, queries_enrich, queries_entities, queries_retrieval, queries_text  # noqa: F401
+    from docmesa.plans import queries_answers, queries_catalog, queries_components, queries_enrich, queries_entities, queries_planning, queries_retrieval, queries_surfaces, queries_text  # noqa: F401
 
 
 _load()
