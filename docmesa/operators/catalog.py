@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from docmesa.sources.storage import written
+
 _L, _S, _D, _T, _B = S.LongType(), S.StringType(), S.DoubleType(), S.TimestampType(), S.BooleanType()
 
 
@@ -75,10 +77,14 @@ def activate(sessions: DataFrame, session: str, created_at) -> DataFrame:
 
 
 def appended(rows: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
-    """Rows with others behind them, whose ids go on from the largest. The new rows are numbered by `order`; they are one write's worth."""
+    """Rows with others behind them, whose ids go on from the largest in the order of a column. The new rows are dealt into ranges, which number their own
+    rows and begin where those before them end."""
     top = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy(order)))
-    return rows.unionByName(numbered.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).drop("_top", "_n").select(*rows.columns))
+    dealt = written(fresh.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "fresh")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy("_range").count().select("_range", before.alias("_before"))  # a row for each range
+    numbered = dealt.join(F.broadcast(starts), "_range").withColumn("_n", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    return rows.unionByName(numbered.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).select(*rows.columns))
 
 
 def upserted(rows: DataFrame, key: list[str], version: list[str]) -> DataFrame:

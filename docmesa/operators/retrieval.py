@@ -320,5 +320,14 @@ def chunk_graph_scores(mentions: DataFrame, edges: DataFrame, reached: DataFrame
 
 
 def merged_nodes(records: DataFrame) -> DataFrame:
-    """One row per key of records (key, label, aliases, chunk_id, confidence): all aliases and chunks, longest label, best confidence."""
-    return records.groupBy("key").agg(F.max_by("label", F.struct(F.length("label"), "label")).alias("label"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.array_sort(F.collect_set("chunk_id")).alias("chunks"), F.max("confidence").alias("confidence"), F.count("*").alias("mentions"))
+    """One row per key of records (key, label, aliases, chunk_id, confidence): its distinct aliases, number of chunks, longest label, best
+    confidence. Which chunks these are is node_chunks(): a node that a third of all chunks mention has no list of them in a row."""
+    names = records.select("key", F.explode_outer("aliases").alias("alias")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    chunks = node_chunks(records).groupBy("key").agg(F.count("*").alias("chunks"))
+    most = records.groupBy("key").agg(F.max_by("label", F.struct(F.length("label"), "label")).alias("label"), F.max("confidence").alias("confidence"), F.count("*").alias("mentions"))
+    return most.join(names, "key").join(chunks, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+
+
+def node_chunks(records: DataFrame) -> DataFrame:
+    """(key, chunk_id), each once."""
+    return records.filter("chunk_id is not null").select("key", "chunk_id").distinct()

@@ -32,6 +32,9 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.entities(_documents(spark, sf_dir), "doc_id", types=TYPES).filter("source = 'pattern'").select("doc_id", "canonical", "type", "mentions")
 
 
+_HITS = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS canonical, '{k}' AS type, {_count(t)} AS mentions FROM (SELECT doc_id, lower(text) AS t FROM documents)" for t, k in _TERMS) + ") WHERE mentions > 0"
+
+
 @query()
 def entity_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.facets(E.entities(_documents(spark, sf_dir), "doc_id", types=TYPES), "doc_id")
@@ -43,12 +46,12 @@ def entity_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.relations(d, E.entities(d, "doc_id", types=TYPES), "doc_id")
 
 
-@query()
+@query(f"WITH h AS ({_HITS}) SELECT 'entity:' || canonical AS key, canonical AS label, count(DISTINCT doc_id) AS chunks, count(*) AS mentions FROM h GROUP BY canonical")
 def entity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _documents(spark, sf_dir)
-    found = E.entities(d, "doc_id", types=TYPES)
+    found = E.entities(d, "doc_id", types=TYPES).filter("source = 'pattern'")
     nodes, _ = E.graph_records(found, E.relations(d, found, "doc_id"), "doc_id")
-    return V.merged_nodes(nodes).select("key", "label", F.size("chunks").cast("bigint").alias("chunks"), "mentions")
+    return V.merged_nodes(nodes).select("key", "label", "chunks", "mentions")
 
 
 @query("""WITH d AS (SELECT doc_id, source, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS previous, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '\\b[0-9]+\\s*/\\s*[0-9]+\\b', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda w: w != '')) AS w, trim(regexp_replace(regexp_replace(lower(text), '\\b[0-9]+\\s*/\\s*[0-9]+\\b', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS n FROM documents),

@@ -24,8 +24,9 @@ def type_counts(events: DataFrame) -> DataFrame:
 def summary(events: DataFrame) -> DataFrame:
     """One row: counts by type as a map, up to 20 failed events, first and last, whether complete."""
     counts = events.groupBy("event_type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("by_type"))
-    ends = events.agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.slice(F.array_sort(F.collect_set(F.when(F.col("event_type") == "error", F.col("event_id")))), 1, 20).alias("failed"))
-    return counts.crossJoin(ends)
+    ends = events.agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+    failed = events.filter("event_type = 'error'").select("event_id").distinct().orderBy("event_id").limit(20).agg(F.array_sort(F.collect_list("event_id")).alias("failed"))
+    return counts.crossJoin(ends).crossJoin(failed)
 
 
 def last_stage(events: DataFrame) -> DataFrame:
