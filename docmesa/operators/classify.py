@@ -61,9 +61,9 @@ RULES = [
 ]
 
 
-def class_scores(text: Column, facts: dict[str, Column] | None = None) -> dict[str, Column]:
-    """A score up to 1 for each class: .11 times its weight for each term, .12 if any, and bumps for facts (obliges, safety, table, revision, procedure, requirement)."""
-    t, f = F.lower(text), facts or {}
+def class_scores(text: Column, facts: dict[str, Column] | None = None, lowered: bool = False) -> dict[str, Column]:
+    """lowered: whether the text is in lower case already. A score up to 1 for each class: .11 times its weight for each term, .12 if any, and bumps for facts (obliges, safety, table, revision, procedure, requirement)."""
+    t, f = text if lowered else F.lower(text), facts or {}
     bumps = {"engineering_specification": [("obliges", 0.16), ("requirement", 0.12)], "safety_critical_document": [("safety", 0.22)], "table_numeric_reference": [("table", 0.14)], "revision_control_document": [("revision", 0.12)], "procedure_or_work_instruction": [("procedure", 0.16)]}
     out = {}
     for name, weight, terms in CLASSES:
@@ -156,17 +156,17 @@ def ontology_score(names: list[str], text: Column) -> Column:
 # --- rules of wording
 
 
-def rule_hits(text: Column) -> dict[str, Column]:
+def rule_hits(text: Column, lowered: bool = False) -> dict[str, Column]:
     """How often each rule's patterns occur, 8 at most."""
-    t = F.lower(text)
+    t = text if lowered else F.lower(text)
     return {name: F.least(F.lit(8), sum((T.pattern_count(t, p) for p in patterns), F.lit(0))) for name, _, patterns in RULES}
 
 
-def symbolic_score(asked: list[str], terms: list[str], text: Column) -> Column:
+def symbolic_score(asked: list[str], terms: list[str], text: Column, lowered: bool = False) -> Column:
     """.014 for each occurrence times the rule's weight, 1.35 as much for asked rules, .045 at most for a rule; question terms up to .04; .18 in all."""
-    hits = rule_hits(text)
+    hits = rule_hits(text, lowered)
     own = sum((F.least(F.lit(0.045), hits[name] * (0.014 * weight * (1.35 if name in asked else 1.0))) for name, weight, _ in RULES), F.lit(0.0))
-    return F.round(F.least(F.lit(0.18), own + F.least(F.lit(0.04), T.hits(F.lower(text), terms) * 0.006)), 5)
+    return F.round(F.least(F.lit(0.18), own + F.least(F.lit(0.04), T.hits(text if lowered else F.lower(text), terms) * 0.006)), 5)
 
 
 # --- further components of a chunk's score
