@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docmesa.functions import text as T
 from docmesa.functions import vocab
 from docmesa.operators import enrich as E
+from docmesa.plans.queries_text import LINE
 from docmesa.plans.registry import query, table
 
 
@@ -89,9 +90,30 @@ def ratio_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.canonical_units(li).select("l_orderkey", "l_linenumber", T.micro(F.col("canonical_value")).alias("ratio"))
 
 
-@query()
+def _without_standards(x: str) -> str:
+    for p in vocab.STANDARDS:
+        x = f"regexp_replace({x}, '(?i)\\b{p}', ' ', 'g')"
+    return x
+
+
+#: Letters outside ASCII are put out of the way: the two engines differ in whether they are part of a word.
+_BARE = _without_standards(r"regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')")
+_UNIT = "(?i)" + vocab.NUMERIC_UNIT
+_NUMBERS = f"""WITH u(alias, unit, family, canonical, factor) AS (VALUES {_UNITS}),
+t AS (SELECT doc_id, {_BARE} AS t FROM documents), m AS (SELECT doc_id, unnest(range(len(l))) AS position, unnest(l) AS m FROM (SELECT doc_id, regexp_extract_all(t, '{_UNIT}') AS l FROM t)),
+v AS (SELECT doc_id, position, {LINE.replace("line", f"regexp_extract(m, '{_UNIT}', 1)", 1)} AS value, trim(regexp_extract(m, '{_UNIT}', 2)) AS unit FROM m),
+k AS (SELECT * FROM v WHERE NOT (regexp_matches(value, '^[0-9]{{5,}}$') AND unit = '') AND NOT (regexp_matches(value, '^[0-9]+(?:\\.[0-9]+)+$') AND unit = '') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY position) <= 30),
+a AS (SELECT *, regexp_replace(lower(unit), '[^a-z%]+', '', 'g') AS raw, regexp_replace(value, '\\s+', '', 'g') AS w, regexp_matches(value, '[:/]') AS ratio FROM k),
+n AS (SELECT a.doc_id, a.position, a.value, a.unit, a.raw, a.w, a.ratio, u.unit AS known, u.family, u.canonical, u.factor, TRY_CAST(a.w AS DOUBLE) AS number FROM a LEFT JOIN u ON u.alias = a.raw)
+SELECT doc_id, position, value, unit, coalesce(known, raw) AS normalized_unit, CASE WHEN ratio THEN 'ratio' ELSE coalesce(family, CASE WHEN raw = '' THEN 'number' ELSE 'other' END) END AS family, CASE WHEN ratio THEN 'ratio' WHEN number IS NULL THEN coalesce(known, raw) ELSE coalesce(canonical, known, raw) END AS canonical_unit,
+CAST(round(CASE WHEN ratio THEN CASE WHEN CAST(regexp_extract(w, '[/:](.*)$', 1) AS DOUBLE) != 0 THEN CAST(regexp_extract(w, '^([^/:]*)', 1) AS DOUBLE) / CAST(regexp_extract(w, '[/:](.*)$', 1) AS DOUBLE) END ELSE round(number * coalesce(factor, 1.0), 8) END * 1e6) AS BIGINT) AS canonical_value FROM n"""
+
+
+@query(_NUMBERS)
 def numeric_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.canonical_units(E.numeric_constraints(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text"))
+    c = E.canonical_units(E.numeric_constraints(d, "doc_id"))
+    return c.select("doc_id", "position", "value", "unit", "normalized_unit", "family", "canonical_unit", T.micro(F.col("canonical_value")).alias("canonical_value"))
 
 
 @query(r"""SELECT doc_id, len(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9_]*\s*=\s*[A-Za-z0-9_(][A-Za-z0-9_+*/().\- ]*[A-Za-z0-9_)]'), regexp_extract_all(text, '\b[0-9]+(\.[0-9]+)?\s*:\s*[0-9]+(\.[0-9]+)?\b')), regexp_extract_all(text, '(?i)\b[0-9]+(\.[0-9]+)?\s*(mm|cm|m|barg|bar|psi|kpa|mpa|deg|c|hz|kg|ton|inch)\b')))) AS formulas FROM documents""")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmesa.functions import text as T
+from docmesa.functions import vocab
 from docmesa.operators import blocks as B
 from docmesa.operators import catalog as R
 from docmesa.operators import chat as H
 from docmesa.operators import classify as K
 from docmesa.operators import entities as E
 from docmesa.operators import retrieval as V
+from docmesa.plans.queries_enrich import _SCRIPT, _TOTAL
 from docmesa.plans.queries_retrieval import line_chunks
 from docmesa.plans.registry import query, table
 
@@ -35,7 +37,15 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HITS = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS canonical, '{k}' AS type, {_count(t)} AS mentions FROM (SELECT doc_id, lower(text) AS t FROM documents)" for t, k in _TERMS) + ") WHERE mentions > 0"
 
 
-@query()
+_PLAIN = "text"
+for _p in vocab.STANDARDS:
+    _PLAIN = f"regexp_replace({_PLAIN}, '(?i)\\b{_p}', ' ', 'g')"
+_TAGS = f"list_slice(list_distinct(list_filter(list_transform(regexp_extract_all({_PLAIN}, '{vocab.IDENTIFIER}'), lambda s: regexp_replace(s, '^[-_]+|[-_]+$', '', 'g')), lambda s: length(s) >= 5)), 1, 30)"
+_STANDARDS = "list_slice(list_distinct(" + " || ".join(f"list_transform(regexp_extract_all(text, '(?i)\\b{_p}'), lambda s: upper(s))" for _p in vocab.STANDARDS) + "), 1, 20)"
+_SHORT = " + ".join(f"CAST(regexp_matches(text, '\\b{a.upper()}\\b') AS INT)" for a in dict.fromkeys(E.ALIASES))
+
+
+@query(f"SELECT doc_id, n + s + len(i) + len(g) AS entities, n + s + len(i) + len(g) AS high_confidence, len(i) AS identifiers, len(g) AS standards FROM (SELECT doc_id, ({' + '.join(f'CAST({_count(t)} > 0 AS INT)' for t, _ in _TERMS)}) AS n, ({_SHORT}) AS s, {_TAGS} AS i, {_STANDARDS} AS g FROM (SELECT doc_id, text, lower(text) AS t FROM documents)) WHERE n + s + len(i) + len(g) > 0")
 def entity_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.facets(E.entities(_documents(spark, sf_dir), "doc_id", types=TYPES), "doc_id")
 
@@ -68,7 +78,11 @@ def promoted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.promote_tables(B.lines_as_blocks(_documents(spark, sf_dir))).filter("kind = 'table'")
 
 
-@query()
+_SHARES = ", ".join([f"round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(1, {_TOTAL}), 4)", *[f"round({v} / greatest(1, {_TOTAL}), 4)" for v in _SCRIPT.values()]])
+_GLOSSED = " OR ".join(f"contains(text, '{k}')" for k in E.GLOSSARY)
+
+
+@query(f"WITH s AS (SELECT doc_id, text, [{_SHARES}] AS s FROM documents), n AS (SELECT doc_id, text, CASE WHEN trim(text) != '' AND s[1] > 0 THEN 'en' ELSE 'unknown' END AS language_code, len(list_filter(s, lambda x: x >= 0.12)) > 1 AS needed, {_GLOSSED} AS glossed FROM s) SELECT doc_id, language_code, CASE WHEN NOT needed THEN 'not_required' WHEN glossed THEN 'partial_engineering_glossary_translation' ELSE 'translation_metadata_ready_no_engine' END AS translation_status, CAST(CASE WHEN NOT needed THEN 1.0 WHEN glossed THEN 0.48 ELSE 0.2 END AS DOUBLE) AS translation_confidence FROM n")
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmesa.operators.enrich import language
 
