@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docmesa.functions import text as T
 from docmesa.functions import vocab
 from docmesa.operators import blocks as B
+from docmesa.operators import chunk as C
 from docmesa.operators import dedupe as D
 from docmesa.operators import surfaces as U
 from docmesa.plans.queries_planning import _lit, _m, _named
@@ -39,9 +40,11 @@ def assembled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def indexed_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and hashes of the surfaces of each document."""
-    x = U.indexed(U.assembled(document_chunks(spark, sf_dir)))
-    return x.select(F.col("id").alias("doc_id"), F.array_join("active", "|").alias("active"), "hybrid.dense_chars", "hybrid.dense_hash", "hybrid.sparse_chars", "hybrid.sparse_hash", F.array_join(F.slice("hybrid.sparse_terms", 1, 10), "|").alias("terms"), F.explode("index").alias("s")).select("doc_id", "active", "dense_chars", "dense_hash", "sparse_chars", "sparse_hash", "terms", "s.*")
+    """Sizes and hashes of the surfaces of each chunk: words are counted within a chunk, which has a bounded length. An outer explode: the filter inferred for the other would be written out anew at each step below."""
+    c = C.document_chunks(table(spark, sf_dir, "documents"))
+    c = c.select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("id"), F.col("doc_id").alias("document_id"), "chunk_index", "text", "section")
+    x = U.indexed(U.assembled(c))
+    return x.select("id", F.array_join("active", "|").alias("active"), "hybrid.dense_chars", "hybrid.dense_hash", "hybrid.sparse_chars", "hybrid.sparse_hash", F.array_join(F.slice("hybrid.sparse_terms", 1, 10), "|").alias("terms"), F.explode_outer("index").alias("s")).select("id", "active", "dense_chars", "dense_hash", "sparse_chars", "sparse_hash", "terms", "s.*")
 
 
 @query()
