@@ -145,9 +145,9 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             x = [statistics(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    # an id may stand for many rows, so the rows are bounded as well before they come to the driver
-    least = chosen.select("doc_id", "text", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_rows)
-    got = least.mapInArrow(rows, "doc_id bigint, quality int, x array<double>").collect()
+    # an id may stand for many rows, so these are bounded as well before they come to the driver, as statistics and not as texts
+    made = chosen.select("doc_id", "text", "quality").mapInArrow(rows, "doc_id bigint, quality int, x array<double>")
+    got = made.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample_rows).collect()
     got.sort(key=lambda r: (r.doc_id, r.x))
     return fit(np.array([r.x for r in got]).reshape(-1, len(NAMES)), np.array([r.quality for r in got], dtype=float))
 

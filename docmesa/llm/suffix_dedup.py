@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmesa.llm.common import materialise, partitions, release, unused
+from docmesa.llm.common import materialise, partitions, release, tidy, unused
 
 #: Bytes of an anchor, at least; bytes hashed at once; bytes kept of an anchor's hash beside its bucket's two, and of a segment's
 #: (128 bits in all decide that segments are equal); hash bases.
@@ -228,18 +228,26 @@ def _sieve_rows(length: int, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = _bytes_of(b.column(2))
-            found = []
+            found = []  # of each slice only what is sent: bucket, document and the block's bytes
             for part, cut, first, skip in _slices(data, offsets, length):
                 s = segments(part, cut, length)
-                found.append((s.doc + first, s.start + skip, *s[2:]))
-            if not found or not sum(len(f[0]) for f in found):
-                continue
-            s = Segments(*(np.concatenate(c) for c in zip(*found, strict=True)))
-            # the low bits choose the bucket; the block has others
-            key = (s.anchor_hash & np.uint64(65535)).astype(np.int64) * buckets >> 16
-            columns = (s.anchor_hash >> np.uint64(16), ANCHOR), (s.segment_hash, SEGMENT), (s.left, 2), (s.right, 2), (s.start, 4), (s.windows, 1), (s.doc, 2)
-            block = np.concatenate([v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n] for v, n in columns], axis=1)
-            yield _table_rows(key, buckets, block, s.doc, b.column(0).to_numpy(), b.column(1).to_numpy())
+                # the low bits choose the bucket; the block has others
+                key = ((s.anchor_hash & np.uint64(65535)).astype(np.int64) * buckets >> 16).astype(np.uint16)
+                columns = (s.anchor_hash >> np.uint64(16), ANCHOR), (s.segment_hash, SEGMENT), (s.left, 2), (s.right, 2), (s.start + skip, 4), (s.windows, 1), (s.doc + first, 2)
+                block = np.empty((len(key), sum(n for _, n in columns)), dtype=np.uint8)
+                at = 0
+                for v, n in columns:
+                    block[:, at : at + n] = v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]
+                    at += n
+                found.append((key, block))
+            key = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.uint16)
+            if len(key):
+                block = np.concatenate([f[1] for f in found])
+                del found
+                doc = np.ascontiguousarray(block[:, -2:]).view("<u2").ravel()
+                yield _table_rows(key, buckets, block, doc, b.column(0).to_numpy(), b.column(1).to_numpy())
+                del key, block, doc
+            tidy()
 
     return rows
 
@@ -260,23 +268,27 @@ def _table_rows(key, n, block, doc, ids, rows_) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blocks, pa.binary()), pa.array(tables, pa.binary())], names=["bucket", "block", "docs"])
 
 
-def _read_blocks(table: pa.Table):
-    """Anchor, segment, left, right, start, windows, doc_id, row key of all blocks."""
+def _read_blocks(table: pa.Table) -> list[np.ndarray]:
+    """Anchor, segment, left, right, start, windows, doc_id, row key of all blocks, each in its own narrow kind."""
     sizes = (ANCHOR, SEGMENT, 2, 2, 4, 1, 2)
-    out = [[] for _ in range(8)]
-    for block, docs in zip(table["block"].to_pylist(), table["docs"].to_pylist(), strict=True):
-        x = np.frombuffer(block, dtype=np.uint8).reshape(sum(sizes), -1)
-        ids, rows_ = np.frombuffer(docs, dtype=np.int64).reshape(2, -1)
-        at, values = 0, []
-        for n in sizes:
-            wide = np.zeros((x.shape[1], 8), dtype=np.uint8)
-            wide[:, :n] = x[at : at + n].T
-            values.append(wide.view("<u8").ravel())
-            at += n
-        place = values.pop().astype(np.int64)
-        for o, v in zip(out, (*values, ids[place], rows_[place]), strict=True):
-            o.append(v)
-    return [np.concatenate(o) for o in out]
+    kinds = ["<u8", "<u8", "<u2", "<u2", "<u4", "u1", "<i8", "<i8"]
+    blocks, tables = table["block"], table["docs"]
+    counts = [len(x.as_buffer()) // sum(sizes) for x in blocks]
+    out = [np.empty(sum(counts), dtype=k) for k in kinds]
+    to = 0
+    for block, docs, n in zip(blocks, tables, counts, strict=True):
+        x = np.frombuffer(block.as_buffer(), dtype=np.uint8).reshape(sum(sizes), -1)
+        ids, rows_ = np.frombuffer(docs.as_buffer(), dtype=np.int64).reshape(2, -1)
+        at = 0
+        for size, o in zip(sizes[:-1], out, strict=False):
+            wide = np.zeros((n, o.dtype.itemsize), dtype=np.uint8)
+            wide[:, :size] = x[at : at + size].T
+            o[to : to + n] = wide.view(o.dtype).ravel()
+            at += size
+        place = np.ascontiguousarray(x[at : at + 2].T).view("<u2").ravel()
+        out[6][to : to + n], out[7][to : to + n] = ids[place], rows_[place]
+        to += n
+    return out
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -295,9 +307,13 @@ def _sieve_group(buckets: int):
     """Marks: segments whose windows are all in a smaller document (anchor 0), and segments that the arrays must look at."""
 
     def group(table: pa.Table) -> pa.Table:
-        anchor, segment, left, right, start, windows, doc, row = _read_blocks(table)
-        order = np.lexsort((doc, segment, anchor))
-        anchor, segment, left, right, start, windows, doc, row = (v[order] for v in (anchor, segment, left, right, start, windows, doc, row))
+        columns = _read_blocks(table)
+        del table
+        order = np.lexsort((columns[6], columns[1], columns[0]))
+        for k in range(len(columns)):  # one after the other, so that only one is there twice
+            columns[k] = columns[k][order]
+        anchor, segment, left, right, start, windows, doc, row = columns
+        del order
         fresh = _heads(anchor, segment)
         head, run = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         smallest = doc[head]  # of the segment
@@ -315,6 +331,7 @@ def _sieve_group(buckets: int):
         made = []
         for flag, pick in ((False, np.flatnonzero(whole)), (True, np.flatnonzero(ask))):
             made.append(_marks(row[pick], start[pick], windows[pick], anchor[pick], flag, buckets))
+        tidy()
         return pa.concat_tables(made)
 
     return group
@@ -451,6 +468,8 @@ def _array_group(length: int, buckets: int):
         new = np.ones(len(row), dtype=bool)
         new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
+        del levels, data, bodies
+        tidy()
         return _marks(row[first], start[first], np.diff(np.append(first, len(row))), np.zeros(len(first)), False, buckets)
 
     return group
@@ -472,6 +491,8 @@ def _cut_group(length: int, give: str):
             kept.append(k)
             sizes.append(size)
         counts = np.array(sizes, dtype=np.int64).reshape(-1, 3)
+        del texts
+        tidy()
         return pa.table({"id": pa.array(ids), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(counts[:, 0]), "n_removed": pa.array(counts[:, 1]), "n_spans": pa.array(counts[:, 2]), "row": pa.array(keys)})
 
     return group
