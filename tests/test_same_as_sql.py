@@ -19,7 +19,7 @@ ASKED = ["Doñez ñta del osjarr", "Isé la página", "Do you need that valve",
 
 def test_words_end_before_letters_outside_ascii(spark, tmp_path):
     rows = [(k, 0, "user", t) for k, t in enumerate(ASKED)]
-    for name in ("question_profiles",):
+    for name in ("question_profiles", "question_routes"):
         got, want = both(spark, tmp_path / name, name, "conversations", rows, "conv_id bigint, turn int, role string, text string")
         assert got == want
-    assert want[0][2] == "yes_no"
+    assert want[0][2] == "yes_no" and want[3][3] == "table"
