@@ -23,3 +23,11 @@ def test_words_end_before_letters_outside_ascii(spark, tmp_path):
         got, want = both(spark, tmp_path / name, name, "conversations", rows, "conv_id bigint, turn int, role string, text string")
         assert got == want
     assert want[0][2] == "yes_no" and want[3][3] == "table"
+
+
+def test_tokens_in_any_number_give_the_same_score(spark, tmp_path):
+    """A cosine of 1/4 by 27 times a third of 1/36 gives a score that lies between two millionths."""
+    filler = ["aa"] * 23 + ["bb"] * 6 + ["cc", "dd"]
+    rows = [(0, " ".join(["the"] * 27 + filler)), (1, " ".join(filler)), (2, ""), (3, "the " * 9)]
+    got, want = both(spark, tmp_path, "route_scores", "documents", rows, "doc_id bigint, text string")
+    assert got == want and dict(want)[0] == 137188
