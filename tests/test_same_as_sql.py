@@ -31,3 +31,11 @@ def test_tokens_in_any_number_give_the_same_score(spark, tmp_path):
     rows = [(0, " ".join(["the"] * 27 + filler)), (1, " ".join(filler)), (2, ""), (3, "the " * 9)]
     got, want = both(spark, tmp_path, "route_scores", "documents", rows, "doc_id bigint, text string")
     assert got == want and dict(want)[0] == 137188
+
+
+def test_numbers_beyond_64_bits(spark, tmp_path):
+    """The row stays; its value in millionths is null, where the SQL stops by an overflow."""
+    rows = [(1, "111662915952825 m and 25 bar"), (2, "9" * 400 + " mm"), (3, "99999999999999999999:3 m"), (4, "1:4")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.position, r.family, r.canonical_unit, r.canonical_value) for r in QUERIES["numeric_constraints"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, "length", "m", None), (1, 1, "pressure", "pa", 2500000000000), (2, 0, "length", "m", None), (3, 0, "ratio", "ratio", None), (4, 0, "ratio", "ratio", 250000)]
