@@ -25,6 +25,18 @@ def test_words_end_before_letters_outside_ascii(spark, tmp_path):
     assert want[0][2] == "yes_no" and want[3][3] == "table"
 
 
+#: Null, blanks of all kinds, long words without vowels, a dotted capital I, and a carriage return or line feed between give and and.
+ODD = [None, "", " " * 9, "\t" * 9, "\u00a0" * 9, "\u3000\n" * 5, "\x0b" * 9, "\u2028" * 9, "bcdfghjklmnp xkcdwwwqqqqqtz", "draw\u0130ng of osjarr", "L\u0130ST osjarr plan", "\u00a0what about osjarr", "\t\u2003 \u00a0Is osjarr plan", "\x0bis osjarr plan", "\u2028is osjarr plan", "osjarr that one\u00a0", "also osjarr", "osjarr and plan and zzz give\rand", "osjarr and plan and zzz give\nand", "osjarr and plan give\rand", "osjarr give\rand and also"]
+
+
+def test_odd_questions_have_the_types_and_routes_of_the_sql(spark, tmp_path):
+    rows = [(k, 0, "user", t) for k, t in enumerate(ODD)]
+    for name in ("question_profiles", "question_routes"):
+        got, want = both(spark, tmp_path / name, name, "conversations", rows, "conv_id bigint, turn int, role string, text string")
+        assert got == want
+    assert [want[k][2:] for k in (0, 3, 4, 8, 9, 11)] == [("direct_fact", "hybrid"), ("direct_fact", "hybrid"), ("messy_language", "multi_query"), ("direct_fact", "hybrid"), ("image_diagram", "multimodal"), ("follow_up", "memory")]
+
+
 def test_tokens_in_any_number_give_the_same_score(spark, tmp_path):
     """A cosine of 1/4 by 27 times a third of 1/36 gives a score that lies between two millionths."""
     filler = ["aa"] * 23 + ["bb"] * 6 + ["cc", "dd"]
